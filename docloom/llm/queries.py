@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, mixing, quality, sharding, simhash, token_files, toxicity
+from . import bpe, ivfpq, lattice, licenses, mixing, quality, sharding, simhash, token_files, toxicity
 
 #: The tokenizer of the contracts.
 TOKENIZER = "word_bpe_49k.json"
@@ -18,6 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op2_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ivfpq.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def fold(n: int) -> Column:
     """The remainder that the contracts divide rows by."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
@@ -64,6 +72,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lattice_dedup": op1_lattice_dedup,
+    "op2_ivfpq": op2_ivfpq,
     "op3_quality": op3_quality,
     "op4_token_files": op4_token_files,
     "op5_mix": op5_mix,
