@@ -206,3 +206,16 @@ def score_quality(docs: DataFrame, labels: DataFrame, train: Column, id_col: str
     """
     stats = materialize(document_statistics(docs, id_col, text_col), "quality-stats")
     return score_statistics(stats, train_model(stats, labels, train))
+
+
+def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text scores ``threshold`` or more, with all their columns and no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            stats = [statistics(t.as_py()).astype("<f4") for t in texts]
+            scores = model.scores(np.array(stats, float).reshape(len(batch), N_STATS))
+            yield batch.filter(pa.array(scores >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -256,11 +256,19 @@ def group_near_duplicates(
 
 
 def keep_first(docs: DataFrame, width: int = 5, max_bits: int = 6, n_segments: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their group's smallest; rows with a null id stay.
+    """One row of each group of near duplicates, with all its columns: that with the group's smallest id.
 
-    Rows that repeat an id are kept or dropped together, all but one of equal id and text dropped.
+    Of rows that share an id one with the smallest text stays, null texts before others. Rows with a null
+    id are in no group and stay. An empty table gives an empty result.
     """
-    groups = group_near_duplicates(docs, width, max_bits, n_segments, id_col, text_col)
-    gone = groups.where("doc_id is not null and doc_id != component_id").select("doc_id").distinct()
-    keep = docs.join(gone.withColumnRenamed("doc_id", "__gone"), F.col(id_col) == F.col("__gone"), "left_anti")
-    return keep
+    groups = materialize(group_near_duplicates(docs, width, max_bits, n_segments, id_col, text_col).where("doc_id is not null"), "simhash-groups")
+    gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    kept = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    twice = groups.groupBy(F.col("doc_id").alias("__twice")).agg(F.count("*").alias("n")).where("n > 1").select("__twice")
+    twice = materialize(twice, "simhash-twice")
+    if twice.isEmpty():
+        return kept
+    same = F.col(id_col) == F.col("__twice")
+    order = F.struct(F.col(text_col).isNotNull(), F.col(text_col))
+    one = kept.join(twice, same, "left_semi").groupBy(F.col(id_col).alias("__id")).agg(F.min_by(F.struct(*docs.columns), order).alias("__row"))
+    return kept.join(twice, same, "left_anti").unionByName(one.select("__row.*"))

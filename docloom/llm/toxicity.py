@@ -204,3 +204,14 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double")
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text scores below ``threshold``, with all their columns and no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = model.scores(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
+            yield batch.filter(pa.array(scores < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
