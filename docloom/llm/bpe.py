@@ -22,8 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Remembered words per Python worker and table; a full table is emptied.
-REMEMBERED = 600_000
+#: Pieces of text and words that a Python worker remembers at most.
+PIECES, WORDS = 1_000_000, 600_000
 #: Bytes of text that are cut into words at a time.
 SLICE_BYTES = 2 << 20
 NONE = np.iinfo(np.int64).max
@@ -62,29 +62,39 @@ def slices(sizes: list[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         yield start, len(sizes)
 
 
+class Remembered:
+    """A bounded memory in two generations: what was not used while one filled up is forgotten."""
+
+    def __init__(self, most: int):
+        self.half, self.young, self.old = most // 2, {"": b""}, {}
+
+    def learn(self, missing: set[str], used: Callable[[], set[str]], find: Callable[[list[str]], list[bytes]]) -> None:
+        """Afterwards ``young`` holds all that is ``used``, of which it lacks what is ``missing``."""
+        if len(self.young) + len(missing) > self.half:
+            self.old, self.young, missing = self.young, {"": b""}, used()
+        kept = missing & self.old.keys()
+        self.young.update(zip(kept, map(self.old.__getitem__, kept), strict=True))
+        new = list(missing - kept)
+        self.young.update(zip(new, find(new), strict=True))
+
+
 class WordMemo:
     """Ids of whole texts from ids of words, which ``encode`` finds for many new words at a time."""
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self.encode, self.known = encode, {"": b""}
+        self.encode, self.known = encode, Remembered(PIECES)
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as the bytes of 16- or 32-bit integers that ``encode`` gives."""
         words = [chunks(t) for t in texts]
-        get = self.known.get
+        get = self.known.young.get
         found = [list(map(get, w)) for w in words]
         late = [i for i, f in enumerate(found) if None in f]
         if late:
-            new = {w for i in late for w, f in zip(words[i], found[i], strict=True) if f is None}
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                self.known[""] = b""
-                new = {w for ws in words for w in ws} - {""}
-                late = range(len(words))
-            fresh = list(new)
-            self.known.update(zip(fresh, self.encode(fresh), strict=True))
+            missing = {w for i in late for w, f in zip(words[i], found[i], strict=True) if f is None}
+            self.known.learn(missing, lambda: {w for i in late for w in words[i]}, self.encode)
             for i in late:
-                found[i] = list(map(self.known.__getitem__, words[i]))
+                found[i] = list(map(self.known.young.__getitem__, words[i]))
         return [b"".join(f) for f in found]
 
 
@@ -119,7 +129,7 @@ class NumpyBpe:
         pieces = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(pieces.replace(r"\s", _SPACE))
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered(WORDS)
 
     def _ranks(self, keys: np.ndarray) -> np.ndarray:
         """Places of the keys in the sorted pair keys, -1 where a pair never merges."""
@@ -188,8 +198,6 @@ class NumpyBpe:
 
     def encode_chunks(self, words: list[str]) -> list[bytes]:
         """The ids of each piece of text between white space."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
         parts: list[list] = []
         for w in words:
             if self.cut and "<" in w and self.cut.search(w):
@@ -199,9 +207,9 @@ class NumpyBpe:
                 parts.append(part)
             else:
                 parts.append(self.pre_tokens(w))
-        new = list({p for part in parts for p in part if isinstance(p, str) and p not in self.known})
-        self.known.update(zip(new, self.merge([p.encode() for p in new]), strict=True))
-        known, raw = self.known, lambda i: np.array([i], self.dtype).tobytes()
+        used = {p for part in parts for p in part if isinstance(p, str)}
+        self.known.learn(used - self.known.young.keys(), lambda: used, lambda new: self.merge([p.encode() for p in new]))
+        known, raw = self.known.young, lambda i: np.array([i], self.dtype).tobytes()
         return [b"".join([known[p] if isinstance(p, str) else raw(p) for p in part]) for part in parts]
 
     def decode(self, ids: np.ndarray) -> bytes:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import WordMemo, slices
+from .bpe import WORDS, Remembered, WordMemo, slices
 from .common import prefix_offsets, scratch_path
 
 MAGIC, VERSION = 0x54464C44, 1
@@ -64,13 +64,11 @@ def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
 class LibraryEncoder:
     """New words in bulk through the tokenizers library.
 
-    A word of letters, lower-cased where it is ASCII, and the ASCII marks after it are pre-tokens of
-    their own, so each is asked for once. Letter words go to the library joined by spaces; each ends at
+    A word of Latin letters, lower-cased, and the ASCII marks after it are pre-tokens of their own, so
+    each is asked for once. Letter words go to the library joined by spaces; each ends at
     a token with the word-end suffix.
     """
 
-    MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
-
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -80,17 +78,18 @@ class LibraryEncoder:
         self.dtype, self.size = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4"), size
         self.ends = np.zeros(size, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {"": b""}
-        #: Marks can be split off if no added token holds them between letters.
-        self.plain = re.compile("|".join(map(re.escape, (t.content for t in self.tokenizer.get_added_tokens_decoder().values()))) or "(?!)")
+        self.known = Remembered(WORDS)
+        marks = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+        added = "".join(t.content[:1] for t in self.tokenizer.get_added_tokens_decoder().values())
+        marks = "".join(c for c in marks if c not in added)  # an added token among the marks would be split
+        self.simple = re.compile(f"([A-Za-zÀ-ÖØ-öø-ÿ]+)([{re.escape(marks)}]*)").fullmatch
 
     def _parts(self, word: str) -> tuple[str, str]:
-        head = word.rstrip(self.MARKS)
-        if not head.isalpha() or not head.isascii() and not head.lower().isalpha() or self.plain.search(word):
-            return word, ""  # one letter's lower case ends in a mark, which would join the marks behind it
-        return (head.lower() if head.isascii() else head), word[len(head) :]
+        m = self.simple(word)
+        return (m[1].lower(), m[2]) if m else (word, "")
 
-    def _ask(self, parts: list[str]) -> None:
+    def _ask(self, parts: list[str]) -> list[bytes]:
+        out: dict[str, bytes] = {}
         letters, rest = [p for p in parts if p.isalpha()], [p for p in parts if not p.isalpha()]
         groups = [letters[i : i + 500] for i in range(0, len(letters), 500)]
         for group, got in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
@@ -100,16 +99,17 @@ class LibraryEncoder:
                 rest += group
                 continue
             raw, stops = ids.tobytes(), stops.tolist()
-            self.known.update(zip(group, [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)], strict=True))
+            out.update(zip(group, [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)], strict=True))
         for part, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.known[part] = np.array(got.ids, self.dtype).tobytes()
+            out[part] = np.array(got.ids, self.dtype).tobytes()
+        return [out[p] for p in parts]
 
     def __call__(self, words: list[str]) -> list[bytes]:
-        if len(self.known) > 600_000:
-            self.known = {"": b""}
         parts = [self._parts(w) for w in words]
-        self._ask([p for p in {x for pair in parts for x in pair} if p not in self.known])
-        return [self.known[a] + self.known[b] for a, b in parts]
+        used = {a for a, _ in parts} | {b for _, b in parts}
+        self.known.learn(used - self.known.young.keys(), lambda: used, self._ask)
+        known = self.known.young
+        return [known[a] + known[b] for a, b in parts]
 
 
 @lru_cache(maxsize=2)
