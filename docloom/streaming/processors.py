@@ -15,6 +15,15 @@ from .rules import LookupRules, NestRules, OrphanDeadline, route
 _ID = T.StructType([T.StructField("id", T.StringType())])
 
 
+def plain(value: Any) -> Any:
+    """Rows as plain tuples, at any depth: state serialisation does not take nested rows."""
+    if isinstance(value, tuple):
+        return tuple(plain(v) for v in value)
+    if isinstance(value, list):
+        return [plain(v) for v in value]
+    return value
+
+
 class _Cell:
     def __init__(self, handle: StatefulProcessorHandle, name: str, schema: T.StructType, ttl: int | None):
         self.state = handle.getValueState(name, schema, ttl)
@@ -23,7 +32,7 @@ class _Cell:
         return self.state.get() if self.state.exists() else None
 
     def put(self, value: Any) -> None:
-        self.state.update(tuple(value))
+        self.state.update(plain(tuple(value)))
 
     def clear(self) -> None:
         self.state.clear()
@@ -48,7 +57,7 @@ class _Table:
         return self.state.getValue((key,))[0] if self.state.containsKey((key,)) else None
 
     def put(self, key: str, value: Any) -> None:
-        self.state.updateValue((key,), (value,))
+        self.state.updateValue((key,), (plain(value),))
 
     def remove(self, key: str) -> None:
         self.state.removeKey((key,))
