@@ -1,8 +1,8 @@
 """Licence scan: positional rare-token index over licence templates.
 
 A pass over all documents counts how many hold each word of the templates. Words that stand in at most
-``RARE_SHARE`` of the documents are rare. For each file its rare licence words with the highest inverse
-document frequency are looked up in the index of template postings; every posting proposes the place
+``RARE_SHARE`` of the documents, so have a high inverse document frequency, are rare. For each file its
+rare licence words are looked up in the index of template postings; every posting proposes the place
 where the template would begin (position in file less position in template). Places that several words
 agree on are verified: enough of the template's words stand where they should, and its mandatory key
 phrases are there in full.
@@ -56,8 +56,6 @@ TEMPLATES = (
 
 #: A licence word is rare if at most this share of the documents holds it.
 RARE_SHARE = 0.2
-#: Highest-IDF words of a file that are looked up; ties by word.
-LOOKED_UP = 12
 #: Share of a template's words that must stand in place, within DRIFT words.
 COVERAGE = 0.8
 DRIFT = 2
@@ -97,7 +95,7 @@ class Index:
         for i, w in enumerate(words):
             if w in self.postings:
                 places[w].append(i)
-        chosen = sorted(places, key=lambda w: (-self.idf[w], w))[:LOOKED_UP]
+        chosen = sorted(places, key=lambda w: (-self.idf[w], w))
         votes: dict[tuple[int, int], set[int]] = defaultdict(set)
         for w in chosen:
             for t, p in self.postings[w]:

@@ -225,8 +225,7 @@ def near_links(members: DataFrame, max_bits: int = 3, n_segments: int = 4, chunk
         blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("chunks"), F.lit(1)) - 1)))
         low, high = F.least("mine", "other"), F.greatest("mine", "other")
         side = F.when(F.col("mine") == F.col("other"), 2).otherwise(F.when(F.col("mine") < F.col("other"), 0).otherwise(1))
-        both = blocks.withColumns({"block": low * 65_536 + high, "side": side})
-        blocks = both
+        blocks = blocks.withColumns({"block": low.cast("long") * (1 << 31) + high, "side": side})
     blocks = blocks.select("key", "block", "start", "role", "side", "fp", "rep")
     blocks = blocks.repartition("key", "block").sortWithinPartitions("key", "block", "rep")
     return blocks.mapInArrow(_block_links(n_segments, max_bits), "a long, b long")
