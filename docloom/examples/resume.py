@@ -6,6 +6,7 @@ Run as ``python -m docloom.examples.resume --bootstrap-servers ... --output kafk
 from __future__ import annotations
 
 import argparse
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +30,27 @@ SCHEMAS = {
 }
 
 
+_STRINGS = {"type": "array", "items": "string"}
+_EXPERIENCE = {
+    "type": "record",
+    "name": "ExperienceDoc",
+    "fields": [
+        {"name": "id", "type": "string"}, {"name": "candidateId", "type": "string"}, {"name": "title", "type": "string"},
+        {"name": "companyName", "type": ["null", "string"], "default": None}, {"name": "projects", "type": _STRINGS},
+    ],
+}
+DOCUMENT_AVRO = json.dumps(
+    {
+        "type": "record",
+        "name": "CandidateDoc",
+        "fields": [
+            {"name": "id", "type": "string"}, {"name": "name", "type": "string"},
+            {"name": "experiences", "type": {"type": "array", "items": _EXPERIENCE}}, {"name": "skills", "type": _STRINGS},
+        ],
+    }
+)
+
+
 def schema(name: str) -> T.StructType:
     return T.StructType.fromDDL(SCHEMAS[name])
 
@@ -90,18 +112,20 @@ class Config:
 
 
 def decoder(config: Config, name: str) -> kafka.Decoder:
-    """JSON, or Avro behind the registry's five-byte header, which needs Spark's Avro package."""
-    if config.format == "json":
-        return kafka.json_decoder(schema(name))
-    from pyspark.sql.avro.functions import from_avro
+    """JSON, or Avro in the registry's framing, which needs Spark's Avro package."""
+    return kafka.json_decoder(schema(name)) if config.format == "json" else kafka.avro_decoder(avro_schema(name))
 
-    return lambda value: from_avro(F.substring(value, 6, (1 << 31) - 1), avro_schema(name), {"mode": "FAILFAST"})
+
+def encoder(config: Config) -> kafka.Encoder:
+    """The format of the documents; an index always gets JSON."""
+    if config.format == "json" or config.output != "kafka":
+        return kafka.json_encoder
+    schema_id = kafka.SchemaRegistry(config.schema_registry_url).register(f"{DOCUMENTS_TOPIC}-value", DOCUMENT_AVRO)
+    return kafka.avro_encoder(DOCUMENT_AVRO, schema_id)
 
 
 def avro_schema(name: str) -> str:
     """The Avro record schema of an input; ``deleted`` is false and ``companyName`` null where missing."""
-    import json
-
     fields = []
     for f in schema(name):
         kind: object = "boolean" if isinstance(f.dataType, T.BooleanType) else "string"
@@ -124,7 +148,7 @@ def main(args: list[str] | None = None) -> None:
         inputs[name] = kafka.read_changes(name, spark, options, decoder(config, name), lambda r: r["id"], flag)
     documents = candidate_documents(inputs)
     if config.output == "kafka":
-        writer = kafka.write_changes("candidate-docs", documents, kafka.KafkaSinkOptions(config.bootstrap_servers, DOCUMENTS_TOPIC), config.checkpoint)
+        writer = kafka.write_changes("candidate-docs", documents, kafka.KafkaSinkOptions(config.bootstrap_servers, DOCUMENTS_TOPIC), config.checkpoint, encoder(config))
     else:
         writer = search.stream_changes("candidate-docs", documents, search.SearchSinkOptions(config.search_hosts, config.search_index), config.checkpoint)
     writer.start().awaitTermination()

@@ -13,6 +13,7 @@ from .operators.nest import Nest
 from .options import LookupOptions
 from .plans.replay import route
 from .plans.snapshot import latest
+from .scratch import scratch_path
 from .sources.kafka import encode_changes
 from .sources.search import newest_operations
 
@@ -254,6 +255,26 @@ def nest_replay_emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nest_users(spark, sf_dir, _parents_with_deletes(spark, sf_dir), "replay").select("kind", "id", "seq", "sub", "value.*")
 
 
+def stream_nest_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last change per key of the same level run as a stream over all files, with its state in RocksDB."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    home = scratch_path(spark, "stream-nest")
+    parts = {"parents": _parents_with_deletes(spark, sf_dir), "users": user_events(spark, sf_dir)}
+    streams = {}
+    for name, part in parts.items():
+        part.write.parquet(f"{home}/{name}")
+        streams[name] = spark.readStream.schema(part.schema).parquet(f"{home}/{name}")
+    level = Nest.parent("key", streams["parents"])
+    users = level.child("users", streams["users"], lambda v: v["k"])
+    out = level.assemble(lambda p, c: F.struct(F.size(c[users]).alias("n"), _joined(c[users], "user_id").alias("users")))
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{home}/out/batch={number}")
+
+    out.writeStream.outputMode("update").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    return latest(spark.read.parquet(f"{home}/out")).select("kind", "id", "seq", "value.*")
+
+
 NEST_REPLAY_SQL = f"""
 with {PARENTS_SQL}, {EVENTS_SQL}, log as (
   select id as parent, '' as child, case when gone then 'D' else 'U' end as kind, seq * 4 as pos, seq, 0 as sub from parents
@@ -328,6 +349,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "nest_cascade_delete": nest_cascade_delete,
     "nest_orphans": nest_orphans,
     "nest_replay_emissions": nest_replay_emissions,
+    "stream_nest_users": stream_nest_users,
     "kafka_encode": kafka_encode,
     "search_bulk_ops": search_bulk_ops,
     "union_customers_suppliers": union_customers_suppliers,
@@ -378,6 +400,7 @@ ORACLE: dict[str, str] = {
         {_LAST_EVENTS} select p::varchar as id, count(e.id)::int as n, coalesce(string_agg(e.id, ',' order by e.id), '') as users
         from (select range as p from range(100) where range % 2 = 1) left join ended e on e.k = p::varchar and e.kind = 'U' group by p""",
     "nest_replay_emissions": NEST_REPLAY_SQL,
+    "stream_nest_users": f"select arg_max(kind, (seq, sub)) as kind, id, max(seq) as seq, arg_max(n, (seq, sub)) as n, arg_max(users, (seq, sub)) as users from ({NEST_REPLAY_SQL}) group by id",
     "kafka_encode": f"""with {EVENTS_SQL} select id as key, case when kind = 'U' then '{{"k":"' || k || '"}}' end as value from ev""",
     "search_bulk_ops": f"""
         {_LAST_EVENTS} select id, case kind when 'U' then 'index' else 'delete' end as action, case when kind = 'U' then '{{"k":"' || k || '"}}' end as document,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.errors import ConfigurationError, SearchWriteError
-from docloom.examples.resume import Config, avro_schema, schema
+from docloom.examples.resume import DOCUMENT_AVRO, Config, avro_schema, schema
 from docloom.operators.changes import change_schema
 from docloom.sources import kafka, search
 
@@ -44,6 +44,16 @@ def test_decode(spark):
     assert kafka.decode_records(records(spark, "abc", "abcd"), dropping).count() == 1
 
 
+def test_registry_frame(spark):
+    frame = spark.createDataFrame([(bytearray(b"abc"),)], "v binary").select(kafka.framed(F.col("v"), 258).alias("v"))
+    assert bytes(frame.first().v) == b"\x00\x00\x00\x01\x02abc"
+    assert bytes(frame.select(kafka.unframed(F.col("v")).alias("v")).first().v) == b"abc"
+    for bad in (b"", b"\x01\x00\x00\x00\x01x"):
+        with pytest.raises(Exception, match="frame"):
+            spark.createDataFrame([(bytearray(bad),)], "v binary").select(kafka.unframed(F.col("v"))).collect()
+    assert [f["name"] for f in json.loads(DOCUMENT_AVRO)["fields"]] == ["id", "name", "experiences", "skills"]
+
+
 def test_kafka_options():
     o = kafka.KafkaSourceOptions("b:9092", "t", "g", properties={"max.poll.records": "5"}).reader()
     assert o["kafka.max.poll.records"] == "5" and o["startingOffsets"] == "earliest" and o["kafka.group.id"] == "g"
