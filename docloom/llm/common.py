@@ -2,30 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared checkpoint folder, removed when the driver's JVM ends.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests on one
-    machine) a temporary folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-        if not base:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-"))
-            base = spark.sparkContext.getCheckpointDir()
-    path = f"{base.rstrip('/')}/docloom/{tag}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
+from ..scratch import scratch_path
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
