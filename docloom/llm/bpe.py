@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces of text and words that a Python worker remembers at most.
-PIECES, WORDS = 1_000_000, 600_000
+PIECES, WORDS = 1_300_000, 600_000
 #: Bytes of text that are cut into words at a time.
 SLICE_BYTES = 2 << 20
 NONE = np.iinfo(np.int64).max
@@ -40,7 +40,7 @@ def byte_symbols() -> list[str]:
 
 def chunks(text: str) -> list[str]:
     """The text cut at white space. ``str.split`` also cuts at four control characters that are none."""
-    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
         return text.replace("\n", " ").split(" ")
     return text.split()
 
@@ -89,12 +89,14 @@ class WordMemo:
         words = [chunks(t) for t in texts]
         get = self.known.young.get
         found = [list(map(get, w)) for w in words]
-        late = [i for i, f in enumerate(found) if None in f]
-        if late:
-            missing = {w for i in late for w, f in zip(words[i], found[i], strict=True) if f is None}
-            self.known.learn(missing, lambda: {w for i in late for w in words[i]}, self.encode)
-            for i in late:
-                found[i] = list(map(self.known.young.__getitem__, words[i]))
+        gaps = [(w, f, [k for k, ids in enumerate(f) if ids is None]) for w, f in zip(words, found, strict=True) if None in f]
+        if gaps:
+            missing = {w[k] for w, _, at in gaps for k in at}
+            self.known.learn(missing, lambda: missing, self.encode)
+            young = self.known.young
+            for w, f, at in gaps:
+                for k in at:
+                    f[k] = young[w[k]]
         return [b"".join(f) for f in found]
 
 

@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from ..scratch import scratch_path
 from .bpe import WORDS, Remembered, WordMemo, slices
-from .common import prefix_offsets, scratch_path
+from .common import prefix_offsets
 
 MAGIC, VERSION = 0x54464C44, 1
 HEADER = np.dtype([(n, "<u4") for n in ("magic", "version", "documents", "ids", "control", "data")])
@@ -133,15 +134,22 @@ def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", te
     return rows.mapInArrow(run, "doc_id long, ids binary")
 
 
+def flat(column: pa.BinaryArray, dtype: str) -> np.ndarray:
+    """The column's values, one after the other, without a copy."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(dtype) if data and len(column) else np.zeros(0, dtype)
+
+
 def id_order(tokens: DataFrame, dtype: str, size: int) -> np.ndarray:
     """All ids by falling count over all documents, ties by id: at most one row per id reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(size, np.int64)
         for batch in batches:
-            for a, b in slices([len(x) for x in batch.column(0).to_pylist()], 8 << 20):
-                ids = np.frombuffer(b"".join(batch.column(0).slice(a, b - a).to_pylist()), dtype)
-                count += np.bincount(ids, minlength=size)
+            ids = flat(batch.column(0), dtype)
+            for a in range(0, len(ids), 1 << 22):
+                count += np.bincount(ids[a : a + (1 << 22)], minlength=size)
         used = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(count[used])], ["id", "n"])
 
@@ -206,9 +214,11 @@ def read_segments(segments: DataFrame, order: np.ndarray, keep_ids: bool = False
                 counts = buf[cuts[0] : cuts[1]].view("<u4").astype(np.int64)
                 ids = table[unpack(buf[cuts[1] : cuts[2]], buf[cuts[2] : cuts[3]], int(head["ids"]))].astype("<u4")
                 ends = np.cumsum(counts)
-                raw = [ids[a:b].tobytes() for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
+                view = memoryview(ids).cast("B")
+                raw = [view[4 * a : 4 * b] for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
                 arrays = [doc_ids.values, pa.array(ends - counts + start.as_py()), pa.array(counts), pa.array([zlib.crc32(x) for x in raw], pa.int64())]
-                arrays += [pa.array(raw, pa.binary())] * keep_ids
+                if keep_ids:
+                    arrays.append(pa.array(map(bytes, raw), pa.binary()))
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(arrays)])
 
     rows = segments.join(sizes, ["part", "seq"]).select("start", "doc_ids", "payload")
