@@ -13,14 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.guards import checked_id, checked_value
 from ..names import checked_name
 
 UPSERT, DELETE = "U", "D"
 ENVELOPE = ("kind", "id", "value", "seq", "sub")
 
-#: What is not white space; non-breaking spaces count as text.
-_SOLID = r"[^\s\x1c-\x1f\u1680\u2000-\u2006\u2008-\u200a\u2028\u2029\u205f\u3000]"
-
 Key = Callable[[Column], Column]
 
 
@@ -37,17 +35,6 @@ def change_schema(value: T.DataType) -> T.StructType:
     )
 
 
-def checked_id(id_: Column, what: str) -> Column:
-    """``id_`` as text; a null or blank id fails the job. The check is part of the value, so no optimiser rule drops it."""
-    text = id_.cast("string")
-    return F.when(text.rlike(_SOLID), text).otherwise(F.raise_error(F.lit(f"{what}: id is null or blank")).cast("string"))
-
-
-def checked_value(value: Column, what: str) -> Column:
-    """``value``; null fails the job."""
-    return F.when(value.isNotNull(), value).otherwise(F.raise_error(F.lit(f"{what}: value is null")))
-
-
 def changes_from(name: str, rows: DataFrame, id: Key, is_deleted: Key, seq: Key, value: Key | None = None) -> DataFrame:
     """Rows as changes: a delete with the row as value where ``is_deleted``, else an upsert.
 

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.changes import DELETE, UPSERT, Key, checked_value
+from ..functions.guards import checked_value
+from ..operators.changes import DELETE, UPSERT, Key
 
 
 def _order(source: int) -> Column:

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.guards import checked_value
 from ..names import state_id
-from ..operators.changes import ENVELOPE, Key, checked_value
+from ..operators.changes import ENVELOPE, Key
 from ..options import LookupOptions, NestOptions, millis
 from .processors import LookupProcessor, NestProcessor, RouteProcessor
 
