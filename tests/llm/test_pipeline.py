@@ -1,33 +1,131 @@
-"""Registered queries and the pipeline on the smallest tables."""
+"""Registered queries, and the pipeline against a plain version of each stage, on the smallest tables."""
 
+import hashlib
 import importlib.util
+import math
+import re
+from collections import Counter
 
+import numpy as np
+import public_tokenizers
 import pytest
+import xxhash
+from tokenizers import Tokenizer
 
-from docloom.llm.queries import QUERIES, table
+from docloom.llm import quality, toxicity
+from docloom.llm.queries import QUERIES, TOKENIZER, fold, table
 
 SF = "/root/testdata/sf0.001"
+needs_pipeline = pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="no pipeline")
 
 
 def test_ten_operators():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
 
 
-@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="no pipeline")
-def test_pipeline(spark):
+def plain_toxicity(model, text):
+    """The score from a set of n-gram strings."""
+    cleaned = re.sub(rb"[^a-z0-9\x80-\xff]", b" ", bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode()))
+    clean = b" " + b" ".join(cleaned.split()) + b" "
+    total = model.bias
+    seen = set()
+    for n in toxicity.ORDERS:
+        for g in {clean[i : i + n] for i in range(len(clean) - n + 1)}:
+            h = sum(b * pow(0x100000001B3, k, 1 << 64) for k, b in enumerate(g)) + n
+            at = model.slot[(h * 0x9E3779B97F4A7C15 % (1 << 64)) >> (64 - toxicity.DIM_BITS)]
+            if at >= 0:
+                seen.add(int(at))
+    total += sum(model.weights[list(seen)]) if seen else 0
+    return 1 / (1 + math.exp(-max(-60, min(60, total))))
+
+
+def plain_groups(docs, width, bits):
+    prints = {}
+    for i, text in docs:
+        words = re.findall(rb"[^\x20\x09-\x0D]+", bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode()))
+        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words[k : k + width]), 42) for k in range(max(1, len(words) - width + 1))] if words else [], np.uint64)
+        prints[i] = sum(1 << k for k in range(64) if 2 * int((hashes >> np.uint64(k) & np.uint64(1)).sum()) > len(hashes))
+    part = {i: i for i in prints}
+
+    def find(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    ids = sorted(prints)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if (prints[a] ^ prints[b]).bit_count() <= bits:
+                x, y = find(a), find(b)
+                part[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def plain_copies(docs, seed=29):
+    mass = Counter()
+    for r in docs:
+        mass[r.source] += len((r.text or "").encode())
+    whole, parts = sum(mass.values()), sum(math.sqrt(m) for m in mass.values())
+    out = {}
+    for r in docs:
+        rate = math.sqrt(mass[r.source]) / parts * whole / mass[r.source]
+        u = int(hashlib.md5(f"{seed}:{r.doc_id}".encode()).hexdigest()[:13], 16) / 2.0**52
+        n, term, total = 0, math.exp(-rate), math.exp(-rate)
+        while total <= u and n < 200:
+            n += 1
+            term *= rate / n
+            total += term
+        out[r.doc_id] = n
+    return out
+
+
+@needs_pipeline
+def test_pipeline_against_plain_stages(spark):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    rows = docs.collect()
+    model = toxicity.train_model(docs, labels, fold(4) != 2)
+    after = stages["toxicity"](spark, docs, SF)
+    kept = {r.doc_id for r in rows if plain_toxicity(model, r.text) < corpus_pipeline.THRESHOLD}
+    assert sorted(r.doc_id for r in after.collect()) == sorted(kept) and after.columns == docs.columns
+
+    docs, rows = spark.createDataFrame([r for r in rows if r.doc_id in kept], docs.schema), [r for r in rows if r.doc_id in kept]
+    stats = quality.document_statistics(docs)
+    model = quality.train_model(stats, labels, fold(5) != 0)
+    x = np.array([quality.statistics(r.text).astype("<f4") for r in rows], float)
+    z = np.hstack([np.sqrt(2 / quality.FOURIER) * np.cos(np.clip((x - model.mean) / model.scale, -6, 6) @ model.turn + model.shift), np.ones((len(x), 1))])
+    kept = {r.doc_id for r, s in zip(rows, np.interp(z @ model.weights, model.knots, model.levels), strict=True) if s >= corpus_pipeline.THRESHOLD}
+    after = stages["quality"](spark, docs, SF)
+    assert sorted(r.doc_id for r in after.collect()) == sorted(kept) and after.columns == docs.columns
+
+    docs, rows = spark.createDataFrame([r for r in rows if r.doc_id in kept], docs.schema), [r for r in rows if r.doc_id in kept]
+    groups = plain_groups([(r.doc_id, r.text) for r in rows], 5, 6)
+    after = stages["near_dedup"](spark, docs, SF)
+    assert sorted(r.doc_id for r in after.collect()) == sorted({*groups.values()}) and after.columns == docs.columns
+
+    docs, rows = spark.createDataFrame([r for r in rows if groups[r.doc_id] == r.doc_id], docs.schema), [r for r in rows if groups[r.doc_id] == r.doc_id]
+    after = stages["mix"](spark, docs, SF)
+    want = {i: n for i, n in plain_copies(rows).items() if n}
+    assert Counter(r.doc_id for r in after.collect()) == want and after.columns == docs.columns
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(TOKENIZER))
+    digest = {r.doc_id: hashlib.sha256(np.array(tokenizer.encode(r.text or "", add_special_tokens=False).ids, "<u4").tobytes()).hexdigest() for r in rows}
+    got = [(r.doc_id, r.ids_sha256) for r in stages["bpe"](spark, after, SF).collect()]
+    assert Counter(got) == {(i, digest[i]): n for i, n in want.items()}
+    assert Counter((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, SF).collect()) == Counter(got)
+
+
+@needs_pipeline
+def test_pipeline_on_odd_rows(spark):
     import corpus_pipeline
 
-    docs = table(spark, SF, "documents")
-    columns, seen = docs.columns, {r.doc_id for r in docs.select("doc_id").collect()}
-    for name, stage in corpus_pipeline.STAGES:
-        before = seen
-        docs = stage(spark, docs, SF)
-        ids = [r.doc_id for r in docs.select("doc_id").collect()]
-        seen = set(ids)
-        assert seen <= before, name
-        if name == "bpe":
-            assert len(ids) == count
-        else:
-            assert docs.columns == columns
-        count = len(ids)
-    assert 0.3 * table(spark, SF, "documents").count() < len(seen)
+    fields = table(spark, SF, "documents").schema
+    odd = [(1, None, None, None, None), (2, "", "", "", 0), (3, "a few words", "en", "s", 11), (3, "a few words", "en", "s", 11), (None, "no id", "en", None, 5)]
+    for rows in (odd, []):
+        docs = spark.createDataFrame(rows, fields)
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, SF)
+            assert name == "bpe" or docs.columns == fields.names
+            assert docs.count() >= 0
