@@ -6,9 +6,10 @@ shingles, repeats included, have it.
 Search: the fingerprint is a ring of m segments. If two fingerprints differ in at most t bits, some
 segment starts a chain whose first l segments differ in at most l*t/m bits, for every l (Qin and Xiao,
 "Pigeonring", 2018). With t < m the first segment of that chain is equal, which gives the index key
-(segment number, value); where a key has many members, its second link, at most floor(2t/m) = 1 bit
-in the next segment, goes into the key as well, so a large bucket splits into many small ones. Pairs
-within a bucket must then pass every prefix of the chain before the full Hamming check.
+(segment number, value). Where a key has many members, the chain's next segment goes into the key as
+well, with the bits that the chain's budget lets differ, so a large bucket splits into many small
+ones, again and again. Pairs within a bucket must then pass every prefix of the chain before the full
+Hamming check.
 
 Skew: equal fingerprints are one member. A bucket that is still large is cut into chunks, and each
 pair of chunks is a block of bounded size, so no task holds a bucket. A block returns a spanning
@@ -18,11 +19,13 @@ forest of its links, not the links: components stay exactly the same.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialize
@@ -137,7 +140,7 @@ def chain_pairs(fp: np.ndarray, group: np.ndarray, start: np.ndarray, role: np.n
         ok = (role[i] | role[j]) & ((side[i] != side[j]) | (side[i] == 2))
         i, j = i[ok > 0], j[ok > 0]
         x, seen = fp[i] ^ fp[j], np.zeros(len(i), np.int64)
-        for k in range(m):
+        for k in range(1, m):  # the first link is equal: it is in the key
             at = (start[i] + k) % m
             seen = seen + np.bitwise_count((x >> shifts[at]) & masks[at])
             keep = seen <= budget[k]
@@ -185,48 +188,50 @@ def _block_links(m: int, t: int):
 def near_links(members: DataFrame, max_bits: int = 3, n_segments: int = 4, chunk: int = CHUNK) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of ``members(fp, rep)`` within ``max_bits``.
 
-    ``members`` has distinct fingerprints. ``max_bits`` must be below ``n_segments``.
+    ``members`` has distinct fingerprints. ``max_bits`` must be below ``n_segments``. A key with more than
+    ``chunk`` members takes the next link of the chain in, until it has about 32 bits; members whose next
+    segment differs within the chain's budget join as probes. What is still large becomes blocks.
     """
     if max_bits >= n_segments:
         raise ValueError("max_bits must be below n_segments: the first segment of a chain has to be equal")
     parts = segments(n_segments)
 
-    def value(i: int):
-        shift, width = parts[i % n_segments]
-        return F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
-
-    keys = F.array(*[F.struct(F.lit(i).alias("start"), value(i).alias("first"), value(i + 1).alias("second")) for i in range(n_segments)])
-    rows = members.select("fp", "rep", F.explode(keys).alias("k")).select("fp", "rep", "k.*")
-    large = rows.groupBy("start", "first").agg(F.count("*").alias("n")).where(F.col("n") > chunk)
-    large = materialize(large.select("start", "first", F.lit(True).alias("large")), "simhash-large")
-    rows = rows.join(large, ["start", "first"], "left")
-    key = F.col("start").cast("long") * F.lit(1 << 33)
-    plain = F.struct((key + F.col("first")).alias("key"), F.lit(1).alias("role"))
-    longest = max(w for _, w in parts)
-    own = F.struct(F.xxhash64("start", "first", "second").alias("key"), F.lit(1).alias("role"))
-    widths = F.element_at(F.array(*[F.lit(parts[(i + 1) % n_segments][1]) for i in range(n_segments)]), F.col("start") + 1)
-    flips = F.transform(
-        F.filter(F.array(*map(F.lit, range(longest if 2 * max_bits >= n_segments else 0))), lambda b: b < widths),
-        lambda b: F.struct(
-            F.xxhash64("start", "first", F.col("second").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))).alias("key"),
-            F.lit(0).alias("role"),
-        ),
-    )
-    refined = F.concat(F.array(own), flips) if 2 * max_bits >= n_segments else F.array(own)
-    rows = rows.select("fp", "rep", "start", F.explode(F.when(F.col("large"), refined).otherwise(F.array(plain))).alias("k")).select("fp", "rep", "start", "k.*")
-    if large.isEmpty():
-        blocks = rows.withColumns({"block": F.lit(0), "side": F.lit(2)})
-    else:
-        rows = materialize(rows, "simhash-keys")
-        wide = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > chunk)
-        blocks = rows.join(wide.select("key", F.ceil(F.col("n") / chunk).cast("int").alias("chunks")), "key", "left")
-        mine = F.pmod(F.xxhash64("rep"), F.col("chunks").cast("long")).cast("int")
-        blocks = blocks.withColumn("mine", F.coalesce(mine, F.lit(0)))
-        blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("chunks"), F.lit(1)) - 1)))
-        low, high = F.least("mine", "other"), F.greatest("mine", "other")
-        side = F.when(F.col("mine") == F.col("other"), 2).otherwise(F.when(F.col("mine") < F.col("other"), 0).otherwise(1))
-        blocks = blocks.withColumns({"block": low.cast("long") * (1 << 31) + high, "side": side})
-    blocks = blocks.select("key", "block", "start", "role", "side", "fp", "rep")
+    def value(link: int) -> Column:
+        """Of the chain that begins at ``start``, the segment after ``link`` others."""
+        each = [F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1)) for shift, width in parts]
+        return F.element_at(F.array(*[each[(s + link) % n_segments] for s in range(n_segments)]), F.col("start") + 1)
+
+    def longer(rows: DataFrame, link: int) -> DataFrame:
+        budget, widest = max_bits * (link + 1) // n_segments, max(w for _, w in parts)
+        flips = [(sum(1 << b for b in bits), k) for k in range(budget + 1) for bits in combinations(range(widest), k)]
+        fits = F.element_at(F.array(*[F.lit(1 << parts[(s + link) % n_segments][1]).cast("long") for s in range(n_segments)]), F.col("start") + 1)
+        tries = F.array(*[F.struct(F.lit(mask).cast("long").alias("mask"), F.lit(k).alias("n")) for mask, k in flips])
+        rows = rows.withColumns({"next": value(link), "fits": fits, "try": tries})
+        allowed = F.filter("try", lambda f: (f["mask"] < F.col("fits")) & (f["n"] + F.col("used") <= budget))
+        rows = rows.select("fp", "rep", "start", "key", "used", "next", F.explode(allowed).alias("f"))
+        return rows.select("fp", "rep", "start", F.xxhash64("key", F.col("next").bitwiseXOR(F.col("f.mask"))).alias("key"), (F.col("used") + F.col("f.n")).alias("used"))
+
+    rows = members.select("fp", "rep", F.explode(F.array(*map(F.lit, range(n_segments)))).alias("start"))
+    rows = rows.select("fp", "rep", "start", (F.col("start").cast("long") * F.lit(1 << 33) + value(0)).alias("key"), F.lit(0).alias("used"))
+    links, groups = max(1, 32 // max(w for _, w in parts)), []
+    for link in range(1, links + 1):
+        large = rows.groupBy("key").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")).where("chunks > 1")
+        large = materialize(large, "simhash-large")
+        if large.isEmpty():
+            groups.append(rows.withColumn("chunks", F.lit(1)))
+            break
+        sized = materialize(rows.join(large, "key", "left").select(*rows.columns, F.coalesce("chunks", F.lit(1)).alias("chunks")), "simhash-keys")
+        if link == links:
+            groups.append(sized)
+            break
+        groups.append(sized.where("chunks = 1"))
+        rows = longer(sized.where("chunks > 1").drop("chunks"), link)
+        rows = materialize(rows, "simhash-longer")
+    blocks = reduce(DataFrame.unionByName, groups).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("chunks").cast("long")).cast("int"))
+    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    side = F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") > F.col("other")).cast("int"))
+    block = F.least("mine", "other").cast("long") * (1 << 31) + F.greatest("mine", "other")
+    blocks = blocks.select("key", block.alias("block"), "start", (F.col("used") == 0).cast("int").alias("role"), side.alias("side"), "fp", "rep")
     blocks = blocks.repartition("key", "block").sortWithinPartitions("key", "block", "rep")
     return blocks.mapInArrow(_block_links(n_segments, max_bits), "a long, b long")
 
@@ -254,7 +259,7 @@ def group_near_duplicates(
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, width: int = 5, max_bits: int = 6, n_segments: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, width: int = 5, max_bits: int = 7, n_segments: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near duplicates, with all its columns: that with the group's smallest id.
 
     Of rows that share an id one with the smallest text stays, null texts before others. Rows with a null

@@ -101,7 +101,7 @@ def test_pipeline_against_plain_stages(spark):
     assert sorted(r.doc_id for r in after.collect()) == sorted(kept) and after.columns == docs.columns
 
     docs, rows = spark.createDataFrame([r for r in rows if r.doc_id in kept], docs.schema), [r for r in rows if r.doc_id in kept]
-    groups = plain_groups([(r.doc_id, r.text) for r in rows], 5, 6)
+    groups = plain_groups([(r.doc_id, r.text) for r in rows], 5, 7)
     after = stages["near_dedup"](spark, docs, SF)
     assert sorted(r.doc_id for r in after.collect()) == sorted({*groups.values()}) and after.columns == docs.columns
 

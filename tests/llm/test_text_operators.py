@@ -149,7 +149,7 @@ def test_simhash(docs, empty):
     assert simhash.group_near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize(("bits", "m", "chunk"), [(3, 4, 2048), (3, 4, 40), (6, 7, 40), (3, 4, 8), (1, 3, 8)])
+@pytest.mark.parametrize(("bits", "m", "chunk"), [(3, 4, 2048), (3, 4, 40), (7, 8, 2048), (7, 8, 40), (7, 8, 4), (3, 4, 8), (1, 3, 8)])
 def test_simhash_links(spark, bits, m, chunk):
     rng = random.Random(bits * m + chunk)
     prints = {rng.getrandbits(64) for _ in range(150)}
