@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from docloom.examples import resume
 from docloom.operators.changes import changes_from
+from docloom.operators.lookup import Lookup
 from docloom.operators.nest import Nest
-from docloom.options import NestOptions
+from docloom.options import LookupOptions, NestOptions
 
 EVENTS = {
     "projects": [("p1", "e1", "search", False), ("p2", "e1", "index", False), ("p2", "e1", "index", True)],
@@ -123,3 +124,25 @@ def test_orphans_are_forgotten(spark, tmp_path, wait):
     put(tmp_path / "parents", [{"id": "a", "deleted": False, "seq": 3}], 2)
     rows = run(people(spark, tmp_path, NestOptions(orphan_timeout=timedelta(seconds=1 if wait else 1000))), [], tmp_path / "checkpoint", lambda rows: "a" in last(rows))
     assert last(rows)["a"] == ("U", {"kids": "" if wait else "x"})
+
+
+def test_forgotten_entities_are_not_emitted_again(spark, tmp_path):
+    """With a TTL a dimension change no longer finds an entity that was not written for that long."""
+
+    def frame():
+        fields = "id string, top string, deleted boolean, seq long"
+        entities, dims = (changes(n, source(spark, tmp_path / n, fields)) for n in ("entities", "dims"))
+        look = Lookup.of("l", entities, lambda v: v["top"]).with_options(LookupOptions(state_ttl=timedelta(seconds=3)))
+        return look.from_(dims).enrich(lambda e, d: F.struct(e["id"].alias("e"), d["top"].alias("d")))
+
+    def step(n, entity, dim, until):
+        rows = [{"id": entity, "top": "k", "deleted": False, "seq": n}] if entity else []
+        put(tmp_path / "entities", rows, n)
+        put(tmp_path / "dims", [{"id": "k", "top": dim, "deleted": False, "seq": n}] if dim else [], n)
+        return last(run(frame(), [], tmp_path / "checkpoint", until))
+
+    frame()
+    assert step(1, "x", None, lambda rows: "x" in last(rows))["x"] == ("U", {"e": "x", "d": None})
+    time.sleep(5)
+    got = step(2, "y", "acme", lambda rows: last(rows).get("y") == ("U", {"e": "y", "d": "acme"}))
+    assert set(got) == {"y"}
