@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces of text and words that a Python worker remembers at most.
-PIECES, WORDS = 1_300_000, 600_000
+PIECES, WORDS = 400_000, 300_000
 #: Bytes of text that are cut into words at a time.
 SLICE_BYTES = 2 << 20
 NONE = np.iinfo(np.int64).max
@@ -81,8 +81,8 @@ class Remembered:
 class WordMemo:
     """Ids of whole texts from ids of words, which ``encode`` finds for many new words at a time."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self.encode, self.known = encode, Remembered(PIECES)
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], pieces: int = PIECES):
+        self.encode, self.known = encode, Remembered(pieces)
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as the bytes of 16- or 32-bit integers that ``encode`` gives."""

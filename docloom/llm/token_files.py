@@ -25,11 +25,13 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ..scratch import scratch_path
-from .bpe import WORDS, Remembered, WordMemo, slices
+from .bpe import Remembered, WordMemo, slices
 from .common import prefix_offsets
 
 MAGIC, VERSION = 0x54464C44, 1
 HEADER = np.dtype([(n, "<u4") for n in ("magic", "version", "documents", "ids", "control", "data")])
+#: Pieces of text and words that a Python worker remembers at most: asking the library again costs more than memory.
+PIECES, WORDS = 1_300_000, 600_000
 #: Ids that a segment holds at least, unless the partition ends.
 SEGMENT_IDS = 1 << 20
 #: Table: the four lengths that a control byte stands for.
@@ -116,7 +118,7 @@ class LibraryEncoder:
 @lru_cache(maxsize=2)
 def library(path: str) -> tuple[LibraryEncoder, WordMemo]:
     encoder = LibraryEncoder(path)
-    return encoder, WordMemo(encoder)
+    return encoder, WordMemo(encoder, PIECES)
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

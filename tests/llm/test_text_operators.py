@@ -200,13 +200,12 @@ ODD = "abcdefg xyzTHE'sretvld0123456789.,!?-<|>ßÄéΣςσİ́̈\x1c\x1d\x85\xa
 
 
 @pytest.mark.parametrize("which", ["numpy", "library"])
-def test_word_memo_on_odd_texts(monkeypatch, which):
-    monkeypatch.setattr(bpe, "PIECES", 900)  # so that memories turn over
+def test_word_memo_on_odd_texts(which):
     t, rng = library(), random.Random(3)
     texts = ["".join(rng.choice(ODD) for _ in range(rng.randint(0, 50))) for _ in range(3000)]
     texts += ["a" * 4000, "!" * 3001, "<|endoftext|>a<|startoftext|>", "don't' it's we'll", "x's.", "ΑΣ, ΣΑΣ.", "É. é, Éa!"]
     encode = bpe.NumpyBpe(PATH).encode_chunks if which == "numpy" else token_files.LibraryEncoder(PATH)
-    memo = bpe.WordMemo(encode)
+    memo = bpe.WordMemo(encode, 900)  # so that memories turn over
     got = [x for i in range(0, len(texts), 100) for x in memo.texts(texts[i : i + 100])]
     want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(g, "<u2").tolist() for g in got] == want
