@@ -29,8 +29,8 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fingerprints of five-word shingles that differ in at most 7 of 64 bits: similarities over about 0.8."""
-    return simhash.keep_first(docs, width=5, max_bits=7, n_segments=8)
+    """Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, decided by the sets."""
+    return simhash.keep_first(docs, width=5)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

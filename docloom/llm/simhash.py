@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialize
+from .jaccard import similar_links
 
 BITS = 64
 #: Members of a chunk; a block has at most about twice as many.
@@ -259,16 +260,46 @@ def group_near_duplicates(
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, width: int = 5, max_bits: int = 7, n_segments: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_sets(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, digest, hashes`` for each row: its distinct shingle hashes in order, 8 bytes each, and their XXH3."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), 512):  # sets are larger than texts
+                part = batch.slice(start, 512)
+                texts = part.column(1).cast(pa.binary()).to_pylist()
+                sets = [np.unique(np.array(shingle_hashes(t or b"", width), "<u8")).tobytes() for t in texts]
+                digests = [xxhash.xxh3_128_digest(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "digest", "hashes"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, digest binary, hashes binary")
+
+
+def keep_first(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near duplicates, with all its columns: that with the group's smallest id.
 
-    Of rows that share an id one with the smallest text stays, null texts before others. Rows with a null
-    id are in no group and stay. An empty table gives an empty result.
+    Near duplicates are texts whose shingle sets have a Jaccard similarity of at least 0.8, and groups
+    are their components. Null and blank texts have the empty set, which equals itself. Of rows that share an
+    id one with the smallest text stays, null texts before others. Rows with a null id are in no group
+    and stay. An empty table gives an empty result.
     """
-    groups = materialize(group_near_duplicates(docs, width, max_bits, n_segments, id_col, text_col).where("doc_id is not null"), "simhash-groups")
-    gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    sets = shingle_sets(docs.where(F.col(id_col).isNotNull()), width, id_col, text_col)
+    sets = materialize(sets.withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
+    members = sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"))
+    members = materialize(members, "shingle-members")
+    copies = materialize(sets.select("row").join(members.select("row"), "row", "left_anti"), "shingle-copies")
+    links = similar_links(sets.select("row", "hashes"), copies)
+    for end in ("a", "b"):
+        names = members.select(F.col("row").alias(end), F.col("rep").alias(f"__{end}"))
+        links = links.join(names, end).drop(end).withColumnRenamed(f"__{end}", end)
+    named = sets.select("doc_id", "digest").join(members.select("digest", "rep"), "digest")
+    named = materialize(named.select("doc_id", "rep"), "shingle-names")
+    links = links.unionByName(named.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    parts = connected_components(links, "shingle-links")
+    gone = parts.where("node != component").select(F.col("node").alias("__gone"))
     kept = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
-    twice = groups.groupBy(F.col("doc_id").alias("__twice")).agg(F.count("*").alias("n")).where("n > 1").select("__twice")
+    twice = named.groupBy(F.col("doc_id").alias("__twice")).agg(F.count("*").alias("n")).where("n > 1").select("__twice")
     twice = materialize(twice, "simhash-twice")
     if twice.isEmpty():
         return kept

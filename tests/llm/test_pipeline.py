@@ -3,6 +3,7 @@
 import hashlib
 import importlib.util
 import math
+import random
 import re
 from collections import Counter
 
@@ -12,7 +13,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from docloom.llm import quality, toxicity
+from docloom.llm import jaccard, quality, simhash, toxicity
 from docloom.llm.queries import QUERIES, TOKENIZER, fold, table
 
 SF = "/root/testdata/sf0.001"
@@ -129,3 +130,72 @@ def test_pipeline_on_odd_rows(spark):
             docs = stage(spark, docs, SF)
             assert name == "bpe" or docs.columns == fields.names
             assert docs.count() >= 0
+
+
+def plain_similar(docs, width=5):
+    """Components of all pairs whose shingle sets have a Jaccard similarity of 0.8 or more, and the number of such pairs of different sets."""
+    sets, owners = {}, {}
+    for i, text in docs:
+        words = re.findall(rb"[^\x20\x09-\x0D]+", bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode()))
+        sets[i] = frozenset(b" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))) if words else frozenset()
+        for s in sets[i]:
+            owners.setdefault(s, []).append(i)
+    part, pairs = {i: i for i in sets}, 0
+
+    def find(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    blank = [i for i in sets if not sets[i]]
+    near = {(a, b) for a in sets for s in sets[a] for b in owners[s] if a < b} | {(blank[0], b) for b in blank[1:]}
+    for a, b in near:
+        both = len(sets[a] & sets[b])
+        if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+            pairs += sets[a] != sets[b]
+            x, y = find(a), find(b)
+            part[max(x, y)] = min(x, y)
+    return {i: find(i) for i in sets}, pairs
+
+
+def near_copies(seed=11):
+    """Chains of texts whose neighbours are at similarities from 0.6 to 1, and one large group of them."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = []
+    for k in range(60):
+        words = [word() for _ in range(rng.choice([4, 6, 30, 200, 300]))]
+        texts.append(" ".join(words))
+        for _ in range(3):
+            words = list(words)
+            for _ in range(rng.randint(0, len(words) // 45 + 1)):
+                words[rng.randrange(len(words))] = word()
+            texts.append(" ".join(words))
+    base = [word() for _ in range(120)]
+    for _ in range(120):
+        words = list(base)
+        for _ in range(rng.randint(1, 3)):
+            words[rng.randrange(len(words))] = word()
+        texts.append(" ".join(words))
+    return [*texts, None, "", texts[0], texts[0].upper()]
+
+
+@pytest.mark.parametrize("chunk", [2048, 16])
+def test_near_dedup_against_brute_force_similarity(spark, monkeypatch, chunk):
+    monkeypatch.setattr(jaccard.similar_links, "__defaults__", (chunk, 2))
+    monkeypatch.setattr(jaccard, "COMMON", 8)
+    docs = list(enumerate(near_copies()))
+    groups, pairs = plain_similar(docs)
+    assert pairs > 100
+    kept = simhash.keep_first(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), width=5)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({*groups.values()})
+
+
+@needs_pipeline
+def test_near_dedup_stage_against_brute_force_similarity(spark):
+    import corpus_pipeline
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    groups, pairs = plain_similar([(r.doc_id, r.text) for r in docs.collect()])
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "/root/testdata/sf0.01")
+    assert pairs and sorted(r.doc_id for r in kept.collect()) == sorted({*groups.values()})
