@@ -199,3 +199,14 @@ def test_near_dedup_stage_against_brute_force_similarity(spark):
     groups, pairs = plain_similar([(r.doc_id, r.text) for r in docs.collect()])
     kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "/root/testdata/sf0.01")
     assert pairs and sorted(r.doc_id for r in kept.collect()) == sorted({*groups.values()})
+
+
+def test_near_dedup_keeps_texts_that_only_share_a_fingerprint(spark):
+    """A line repeated many times outvotes the rest of a text, which is most of its set of shingles."""
+    rng = random.Random(5)
+    line = "the same seven words again and again "
+    texts = [line * 60 + " ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(2)]
+    prints = simhash.fingerprints([t.encode() for t in texts], 5)
+    assert int(prints[0] ^ prints[1]).bit_count() <= 7
+    kept = simhash.keep_first(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), width=5)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1]
