@@ -1,7 +1,8 @@
 """Licence scan: positional rare-token index over licence templates.
 
 A pass over all documents counts how many hold each word of the templates. Words that stand in at most
-``RARE_SHARE`` of the documents, so have a high inverse document frequency, are rare. For each file its
+``RARE_SHARE`` of the documents, so have a high inverse document frequency, are rare, and so are the
+rarest words of each key phrase in its templates, however many documents hold them. For each file its
 rare licence words are looked up in the index of template postings; every posting proposes the place
 where the template would begin (position in file less position in template). Places that several words
 agree on are verified: enough of the template's words stand where they should, and its mandatory key
@@ -11,7 +12,7 @@ phrases are there in full.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -56,6 +57,8 @@ TEMPLATES = (
 
 #: A licence word is rare if at most this share of the documents holds it.
 RARE_SHARE = 0.2
+#: Words of each key phrase that are indexed in its templates even if they are not rare.
+ALWAYS = 2
 #: Share of a template's words that must stand in place, within DRIFT words.
 COVERAGE = 0.8
 DRIFT = 2
@@ -72,22 +75,26 @@ def words_of(text: bytes) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Index:
-    """Templates as words, postings of the rare words and the words' inverse document frequencies."""
+    """Templates as words, postings of the indexed words, their inverse document frequencies and their number by template."""
 
     templates: tuple[tuple[str, tuple[bytes, ...], tuple[bytes, ...]], ...]
     postings: dict[bytes, list[tuple[int, int]]]
     idf: dict[bytes, float]
+    indexed: tuple[int, ...]
 
     @classmethod
     def build(cls, counts: dict[bytes, int], n_docs: int, templates=TEMPLATES) -> Index:
         split = tuple((label, tuple(text.encode().split()), tuple(k.encode() for k in keys)) for label, text, keys in templates)
         postings = defaultdict(list)
-        for t, (_, words, _) in enumerate(split):
+        rare = {w for _, words, _ in split for w in words if counts.get(w, 0) <= RARE_SHARE * n_docs}
+        for t, (_, words, keys) in enumerate(split):
+            sure = {w for k in keys for w in sorted(set(k.split()), key=lambda w: (counts.get(w, 0), w))[:ALWAYS]}
             for p, w in enumerate(words):
-                if counts.get(w, 0) <= RARE_SHARE * n_docs:
+                if w in rare or w in sure:
                     postings[w].append((t, p))
         idf = {w: math.log((1 + n_docs) / (1 + counts.get(w, 0))) for w in postings}
-        return cls(split, dict(postings), idf)
+        indexed = Counter(t for places in postings.values() for t, _ in places)
+        return cls(split, dict(postings), idf, tuple(indexed[t] for t in range(len(split))))
 
     def find(self, words: list[bytes]) -> list[tuple[int, int, float]]:
         """(template, start, coverage) of each verified place."""
@@ -104,8 +111,7 @@ class Index:
         found = []
         for (t, at), agreed in votes.items():
             size = len(self.templates[t][1])
-            rare = sum(w in self.postings for w in self.templates[t][1])
-            if len(agreed) >= min(2, rare) and (cover := self._verify(words, t, at)) >= COVERAGE:
+            if len(agreed) >= min(2, self.indexed[t]) and (cover := self._verify(words, t, at)) >= COVERAGE:
                 found.append((t, max(at, 0), cover, size))
         return [(t, at, cover) for t, at, cover, _ in sorted(found)]
 

@@ -273,6 +273,15 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan_licenses(empty).count() == 0 and licenses.scan_licenses(docs).count() == len(rows())
 
 
+@pytest.mark.parametrize("filler", [0, 2, 200])
+@pytest.mark.parametrize("template", [t for t in licenses.TEMPLATES if t[0] in ("all-rights-reserved", "bsd", "mpl", "mit")], ids=lambda t: t[1][:20])
+def test_licence_in_every_document(spark, template, filler):
+    label, text, _ = template
+    rows_ = [(i, f"word {text} {sentence(5)}") for i in range(max(1, filler))] + [(1000 + i, "nothing here") for i in range(filler // 10)]
+    got = licenses.scan_licenses(spark.createDataFrame(rows_, "doc_id long, text string")).collect()
+    assert all((label in r.labels.split(",") and r.score == 1.0) if r.doc_id < 1000 else r.labels == "" for r in got)
+
+
 def auc(y, s):
     y, s = np.array(y), np.array(s)
     return np.mean((s[y == 1][:, None] > s[y == 0]) + 0.5 * (s[y == 1][:, None] == s[y == 0]))
