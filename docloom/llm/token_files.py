@@ -8,6 +8,7 @@ A dataset is a Parquet folder whose rows are segments in ascending document orde
 makes the write safe when executors are lost and works with any store. Column ``payload`` is the
 segment: a header (magic, version, documents, ids, control bytes, data bytes as little-endian
 unsigned 32-bit integers), the ids per document (unsigned 32-bit), the control bytes and the data bytes.
+The folder ``_order`` in it holds the ids by rank, a row per ``RANKS`` ids; Spark's readers of the segments skip it.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -34,6 +35,9 @@ HEADER = np.dtype([(n, "<u4") for n in ("magic", "version", "documents", "ids",
 PIECES, WORDS = 1_300_000, 600_000
 #: Ids that a segment holds at least, unless the partition ends.
 SEGMENT_IDS = 1 << 20
+#: Ids in a row of the table of ranks.
+RANKS = 1 << 16
+SEGMENTS = "part long, seq long, n_ids long, doc_ids array<long>, payload binary"
 #: Table: the four lengths that a control byte stands for.
 LENGTHS = ((np.arange(256)[:, None] >> np.arange(0, 8, 2)) & 3) + 1
 TOTALS = LENGTHS.sum(1)
@@ -162,7 +166,7 @@ def id_order(tokens: DataFrame, dtype: str, size: int) -> np.ndarray:
 
 
 def write_segments(tokens: DataFrame, path: str, dtype: str, order: np.ndarray) -> None:
-    """Writes the documents in ascending id order; ``order`` lists the ids by rank."""
+    """Writes the documents in ascending id order, and ``order``, which lists the ids by rank."""
     rank = np.empty(len(order), np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
 
@@ -192,17 +196,26 @@ def write_segments(tokens: DataFrame, path: str, dtype: str, order: np.ndarray)
             yield segment(seq, names, ids)
 
     ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    ordered.mapInArrow(run, "part long, seq long, n_ids long, doc_ids array<long>, payload binary").write.option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(run, SEGMENTS).write.option("compression", "zstd").parquet(path)
+    table = [(k, bytearray(order[k : k + RANKS].astype("<u4").tobytes())) for k in range(0, len(order), RANKS)]
+    tokens.sparkSession.createDataFrame(table, "first long, ids binary").coalesce(1).write.parquet(f"{path}/_order")
 
 
-def read_segments(segments: DataFrame, order: np.ndarray, keep_ids: bool = False) -> DataFrame:
-    """One row per document: ``doc_id, start, n_tokens, ids_crc32`` and, if asked for, ``ids`` (unsigned 32-bit)."""
+def read_order(spark: SparkSession, path: str) -> np.ndarray:
+    """The ids by rank of the dataset in ``path``."""
+    rows = spark.read.schema("first long, ids binary").parquet(f"{path}/_order").orderBy("first").collect()
+    return np.frombuffer(b"".join(bytes(r.ids) for r in rows), "<u4")
+
+
+def read_segments(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFrame:
+    """One row per document of the dataset in ``path``: ``doc_id, start, n_tokens, ids_crc32`` and, if asked for, ``ids`` (unsigned 32-bit)."""
+    segments = spark.read.schema(SEGMENTS).parquet(path)
     inner = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     sizes = segments.select("part", "seq", "n_ids")
     parts = prefix_offsets(sizes.groupBy("part").agg(F.sum("n_ids").alias("n")), "part", "n").select("part", F.col("before").alias("base"))
     sizes = sizes.withColumn("before", F.coalesce(F.sum("n_ids").over(inner), F.lit(0))).join(parts, "part")
     sizes = sizes.select("part", "seq", (F.col("before") + F.col("base")).alias("start"))
-    table = order.astype(np.uint32)
+    table = read_order(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,8 +258,7 @@ def token_files(
     tokens = spark.read.schema(tokens.schema).parquet(raw)
     order = id_order(tokens, encoder.dtype.str, encoder.size)
     write_segments(tokens, out, encoder.dtype.str, order)
-    segments = spark.read.schema("part long, seq long, n_ids long, doc_ids array<long>, payload binary").parquet(out)
-    return read_segments(segments, order, keep_ids)
+    return read_segments(spark, out, keep_ids)
 
 
-__all__ = ["LibraryEncoder", "id_order", "pack", "read_segments", "token_files", "tokenize", "unpack", "write_segments"]
+__all__ = ["LibraryEncoder", "id_order", "pack", "read_order", "read_segments", "token_files", "tokenize", "unpack", "write_segments"]

@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -245,6 +247,22 @@ def test_token_files(spark, docs, empty, monkeypatch, tmp_path):
     assert token_files.token_files(empty, PATH).count() == 0
 
 
+def test_token_files_from_the_path_alone(spark, docs, tmp_path):
+    out = f"file://{tmp_path}/segments"
+    token_files.token_files(docs, PATH, out=out)
+    code = f"""
+from pyspark.sql import SparkSession
+from docloom.llm import token_files
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+for r in token_files.read_segments(spark, {out!r}, keep_ids=True).orderBy("start").collect():
+    print("row", r.doc_id, bytes(r.ids).hex())
+"""
+    shown = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, check=True).stdout
+    got = Counter(tuple(line.split(" ")[1:]) for line in shown.splitlines() if line.startswith("row "))
+    t = library()
+    assert got == Counter((str(i), np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4").tobytes().hex()) for i, text, *_ in rows())
+
+
 LICENSED = [
     ("Licensed under the Apache License, Version 2.0.", 1, "apache", "apache"),
     ("Released under the MIT License. gnu GENERAL public-license", 2, "gpl,mit", "gpl,mit"),
