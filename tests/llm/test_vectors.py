@@ -66,6 +66,19 @@ def test_lattice_keys_do_not_depend_on_the_batch():
     assert (np.concatenate([lat.keys(unit[i : i + 7]) for i in range(0, len(unit), 7)]) == whole).all()
 
 
+@pytest.mark.parametrize("dim", [8, 12, 16, 24, 32])
+@pytest.mark.parametrize("n", [1000, 1_000_000, 100_000_000])
+def test_lattice_misses_few_pairs_of_short_vectors(dim, n):
+    rng = np.random.default_rng(dim)
+    x, y = rng.standard_normal((2, 4000, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = 0.95 * x + np.sqrt(1 - 0.95**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    lat = lattice.Lattice(dim, **lattice.parameters(n))
+    p, q = lat.keys(x), lat.keys(y)
+    assert ((p[:, :, :1] == q) | (q[:, :, :1] == p)).any((1, 2)).mean() >= 0.999
+
+
 def test_e8():
     assert lattice.ROOTS.shape == (240, 8) and ((lattice.ROOTS**2).sum(1) == 8).all()
     y = RNG.uniform(-2, 2, (2000, 8))
