@@ -17,6 +17,7 @@ from ..errors import ConfigurationError
 from ..operators.lookup import Lookup
 from ..operators.nest import Nest
 from ..sources import kafka, search
+from ..streaming import ROCKSDB
 
 # Topics and schemas of the example.
 TOPICS = {n: f"resume.{n}" for n in ("candidates", "skills", "companies", "experiences", "projects")}
@@ -29,7 +30,7 @@ SCHEMAS = {
     "projects": "id string, experienceId string, name string, deleted boolean",
 }
 
-
+# Avro schema of the documents.
 _STRINGS = {"type": "array", "items": "string"}
 _EXPERIENCE = {
     "type": "record",
@@ -140,7 +141,7 @@ def avro_schema(name: str) -> str:
 
 def main(args: list[str] | None = None) -> None:
     config = Config.parse(args)
-    spark = SparkSession.builder.appName("resume-search").getOrCreate()
+    spark = SparkSession.builder.appName("resume-search").config("spark.sql.streaming.stateStore.providerClass", ROCKSDB).getOrCreate()
     flag = kafka.DeleteFlag(lambda r: F.coalesce(r["deleted"], F.lit(False)))
     inputs = {}
     for name, topic in TOPICS.items():

@@ -15,6 +15,12 @@ def checked_id(id_: Column, what: str) -> Column:
     return F.when(text.rlike(_SOLID), text).otherwise(F.raise_error(F.lit(f"{what}: id is null or blank")).cast("string"))
 
 
+def checked_key(key: Column, id_: Column, what: str) -> Column:
+    """``key`` as text; a null key fails the job and names the change's id."""
+    text = key.cast("string")
+    return F.when(text.isNotNull(), text).otherwise(F.raise_error(F.concat(F.lit(f"{what}: no key for "), id_)).cast("string"))
+
+
 def checked_value(value: Column, what: str) -> Column:
     """``value``; null fails the job."""
     return F.when(value.isNotNull(), value).otherwise(F.raise_error(F.lit(f"{what}: value is null")))

@@ -1,7 +1,7 @@
-"""Names, and the operator and state ids that derive from them.
+"""Names, and the ids of sinks and states that derive from them.
 
-Ids depend on the user's names alone, so a checkpoint finds its operators again after other parts of a
-job have changed.
+Ids depend on the user's names alone. States and sinks' checkpoints are found by them; Spark finds a
+stateful operator by its place in the query.
 """
 
 from __future__ import annotations
@@ -20,14 +20,8 @@ def checked_name(name: str, what: str = "name") -> str:
     return name
 
 
-# Patterns of operator ids.
+# Patterns of the sinks' ids.
 UIDS = {
-    "changes": "changes_{name}",
-    "nest": "nest_{name}",
-    "nest_route": "nest_{name}_route_{slot}",
-    "lookup": "lookup_{name}",
-    "lookup_route": "lookup_{name}_route",
-    "kafka_source": "kafka_source_{name}",
     "kafka_sink": "kafka_sink_{name}",
     "search_sink": "elasticsearch_sink_{name}",
 }
@@ -44,8 +38,8 @@ STATES = {
 }
 
 
-def uid(kind: str, name: str, slot: str = "") -> str:
-    return UIDS[kind].format(name=checked_name(name), slot=checked_name(slot) if slot else "")
+def uid(kind: str, name: str) -> str:
+    return UIDS[kind].format(name=checked_name(name))
 
 
 def state_id(kind: str, name: str, slot: str = "") -> str:

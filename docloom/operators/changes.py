@@ -1,8 +1,8 @@
 """The change envelope and what makes it from rows.
 
 A change stream is a DataFrame with columns ``kind`` ('U' or 'D'), ``id`` (not blank), ``value`` (a
-struct, also for deletes), ``seq`` (total order of the source) and ``sub`` (order within one source
-record). It may be a batch or a streaming DataFrame.
+struct, also for deletes), ``seq`` (order of the source) and ``sub`` (order at equal ``seq``). An id's
+changes have different ``(seq, sub)``. It may be a batch or a streaming DataFrame.
 """
 
 from __future__ import annotations
@@ -30,16 +30,16 @@ def change_schema(value: T.DataType) -> T.StructType:
             T.StructField("id", T.StringType(), False),
             T.StructField("value", value, False),
             T.StructField("seq", T.LongType(), False),
-            T.StructField("sub", T.IntegerType(), False),
+            T.StructField("sub", T.LongType(), False),
         ]
     )
 
 
-def changes_from(name: str, rows: DataFrame, id: Key, is_deleted: Key, seq: Key, value: Key | None = None) -> DataFrame:
+def changes_from(name: str, rows: DataFrame, id: Key, is_deleted: Key, seq: Key, value: Key | None = None, sub: Key | None = None) -> DataFrame:
     """Rows as changes: a delete with the row as value where ``is_deleted``, else an upsert.
 
-    ``id``, ``is_deleted``, ``seq`` and ``value`` get the row as a struct column. Nothing is
-    deduplicated or reordered, and no state is kept.
+    ``id``, ``is_deleted``, ``seq``, ``value`` and ``sub`` (0 if left out) get the row as a struct
+    column. Nothing is deduplicated or reordered, and no state is kept.
     """
     checked_name(name, "changes name")
     row = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
@@ -49,7 +49,7 @@ def changes_from(name: str, rows: DataFrame, id: Key, is_deleted: Key, seq: Key,
         checked_id(id(row), name).alias("id"),
         body.alias("value"),
         seq(row).cast("long").alias("seq"),
-        F.lit(0).alias("sub"),
+        (F.lit(0) if sub is None else sub(row)).cast("long").alias("sub"),
     )
 
 

@@ -64,7 +64,7 @@ class WithDimension:
             raise ConfigurationError(f"mode {mode!r} does not fit the input")
         up._done = True
         if mode == "snapshot":
-            return lookup_snapshot(up.entities, self.dimensions, up.key, enricher, up.options.require_match)
+            return lookup_snapshot(up.entities, self.dimensions, up.key, enricher, up.options.require_match, f"lookup {up.name}")
         if mode == "replay":
             return lookup_replay(up.entities, self.dimensions, up.key, enricher, up.options.require_match, f"lookup {up.name}")
         from ..streaming.pipeline import lookup_stream

@@ -66,7 +66,7 @@ class Nest:
             return assembler(parent, Children(self, columns))
 
         if mode == "snapshot":
-            return nest_snapshot(self.parents, inputs, document)
+            return nest_snapshot(self.parents, inputs, document, f"nest {self.name}")
         if mode == "replay":
             return nest_replay(self.parents, inputs, document, f"nest {self.name}")
         from ..streaming.pipeline import nest_stream

@@ -41,10 +41,14 @@ class _Durations:
 
 @dataclass(frozen=True)
 class NestOptions(_Durations):
-    """``parent_state_ttl``: parents and last documents are forgotten; ``orphan_timeout``: children without parent are."""
+    """``parent_state_ttl``: parents and last documents are forgotten; ``orphan_timeout``: children without parent are.
+
+    ``coalesce``: of a stream's micro-batch only a parent's last document, and its last delete before that, are emitted.
+    """
 
     parent_state_ttl: timedelta | None = UNSET
     orphan_timeout: timedelta | None = UNSET
+    coalesce: bool = False
     _durations = ("parent_state_ttl", "orphan_timeout")
 
 

@@ -1,8 +1,8 @@
 """The full changelog that the operators emit, from complete change logs, in SQL windows and joins.
 
 Changes are ordered by ``seq``; at equal ``seq`` a dimension or parent comes before entities and
-children, slots follow their declaration, and ``sub`` comes last. A later stage orders what it gets by
-``(seq, sub)``, so chained stages keep the order of the source.
+children, slots follow their declaration, then come ``sub`` and the id. What a stage emits for an id is
+numbered in ``sub``, so a later stage that orders by ``(seq, sub)`` keeps the order of emission.
 """
 
 from __future__ import annotations
@@ -10,12 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.guards import checked_value
+from ..functions.guards import checked_key, checked_value
 from ..operators.changes import DELETE, UPSERT, Key
 
 
 def _order(source: int) -> Column:
-    return F.struct(F.col("seq"), F.lit(source).alias("source"), F.col("sub"))
+    return F.struct(F.col("seq"), F.lit(source).alias("source"), F.col("sub"), F.col("id"))
+
+
+def _numbered(id_: str) -> Column:
+    """The place of an emission among those of its id."""
+    return (F.row_number().over(Window.partitionBy(id_).orderBy("ord")) - 1).cast("long").alias("sub")
 
 
 def route(changes: DataFrame, key: Key, what: str) -> DataFrame:
@@ -26,8 +31,7 @@ def route(changes: DataFrame, key: Key, what: str) -> DataFrame:
     before = Window.partitionBy("id").orderBy("seq", "sub")
     rows = changes.withColumn("__last", F.lag(F.when(F.col("kind") == UPSERT, F.col("value"))).over(before))
     rows = rows.withColumn("__own", key(F.col("value")).cast("string")).withColumn("__old", key(F.col("__last")).cast("string"))
-    missing = F.raise_error(F.concat(F.lit(f"{what}: no key for "), F.col("id"))).cast("string")
-    own = F.when(F.col("__own").isNotNull(), F.col("__own")).otherwise(missing)
+    own = checked_key(F.col("__own"), F.col("id"), what)
     known, delete = F.col("__last").isNotNull(), F.col("kind") == DELETE
 
     def out(kind: Column, value: Column, target: Column, moved: bool) -> Column:
@@ -38,7 +42,7 @@ def route(changes: DataFrame, key: Key, what: str) -> DataFrame:
     gone = out(F.lit(DELETE), F.col("__last"), F.col("__old"), False)
     steps = F.when(known & delete, F.array(gone)).when(known & ~F.col("__own").eqNullSafe(F.col("__old")), F.array(leave, plain)).otherwise(F.array(plain))
     rows = rows.select("id", "seq", "sub", F.posexplode(steps).alias("__at", "__step"))
-    return rows.select("__step.kind", "id", "__step.value", "seq", (F.col("sub") * 2 + F.col("__at")).alias("sub"), "__step.key", "__step.relocation")
+    return rows.select("__step.kind", "id", "__step.value", "seq", (F.col("sub") * 2 + F.col("__at")).cast("long").alias("sub"), "__step.key", "__step.relocation")
 
 
 def lookup_replay(entities: DataFrame, dimensions: DataFrame, key: Key, enrich, require_match: bool, what: str) -> DataFrame:
@@ -81,7 +85,7 @@ def lookup_replay(entities: DataFrame, dimensions: DataFrame, key: Key, enrich,
     other = hit.select(kind.alias("kind"), "id", "__entity", with_.alias("__with"), "ord")
     both = own.unionByName(other)
     value = checked_value(enrich(F.col("__entity"), F.col("__with")), what)
-    return both.select("kind", "id", value.alias("value"), F.col("ord.seq").alias("seq"), (F.col("ord.sub") * 2 + F.col("ord.source")).cast("int").alias("sub"))
+    return both.select("kind", "id", value.alias("value"), F.col("ord.seq").alias("seq"), _numbered("id"))
 
 
 def nest_replay(parents: DataFrame, slots: dict[str, tuple[DataFrame, Key]], assemble, what: str) -> DataFrame:
@@ -91,37 +95,41 @@ def nest_replay(parents: DataFrame, slots: dict[str, tuple[DataFrame, Key]], ass
     change that finds its parent present emits a document of the stays that hold at its place; a
     parent's delete emits the document as it was just before.
     """
-    tops = parents.select(F.col("id").alias("parent"), "kind", "value", _order(0).alias("ord"))
-    routed = {n: route(c, k, f"{what} {n}").withColumn("ord", _order(i + 1)).withColumnRenamed("key", "parent") for i, (n, (c, k)) in enumerate(slots.items())}
-
     # One ordered log per parent: the parent's state and the number of its deletes are carried along it.
-    value_type = tops.schema["value"].dataType
-    log = tops.select("parent", "ord", F.lit("").alias("slot"), F.lit("").alias("child"), "kind", F.struct(F.when(F.col("kind") == UPSERT, F.col("value")).alias("v")).alias("__state"))
-    for n, rows in routed.items():
-        none = F.lit(None).cast(log.schema["__state"].dataType)
-        log = log.unionByName(rows.select("parent", "ord", F.lit(n).alias("slot"), F.col("id").alias("child"), "kind", none.alias("__state")))
+    values = {"__parent": parents.schema["value"].dataType} | {f"__child_{n}": c.schema["value"].dataType for n, (c, _) in slots.items()}
+
+    def shaped(rows: DataFrame, parent: str, slot: str, filled: str, source: int) -> DataFrame:
+        cells = [(F.col("value") if c == filled else F.lit(None).cast(kind)).alias(c) for c, kind in values.items()]
+        return rows.select(F.col(parent).alias("parent"), _order(source).alias("ord"), F.lit(slot).alias("slot"), F.col("id").alias("child"), "kind", *cells)
+
+    log = shaped(parents, "id", "", "__parent", 0)
+    for i, (n, (c, k)) in enumerate(slots.items()):
+        log = log.unionByName(shaped(route(c, k, f"{what} {n}"), "key", n, f"__child_{n}", i + 1))
+    is_top, upsert = F.col("slot") == "", F.col("kind") == UPSERT
+    state = F.when(is_top, F.struct(F.when(upsert, F.col("__parent")).alias("v")))
     along = Window.partitionBy("parent").orderBy("ord")
     upto = along.rowsBetween(Window.unboundedPreceding, 0)
     earlier = along.rowsBetween(Window.unboundedPreceding, -1)
-    top_delete = ((F.col("slot") == "") & (F.col("kind") == DELETE)).cast("int")
-    log = log.withColumn("__era", F.sum(top_delete).over(upto))
-    log = log.withColumn("__now", F.last("__state", ignorenulls=True).over(upto)["v"]).withColumn("__before", F.last("__state", ignorenulls=True).over(earlier)["v"])
-    stay = Window.partitionBy("parent", "slot", "child", "__era").orderBy("ord")
-    log = log.withColumn("__was", F.lag("kind").over(stay)).withColumn("__until", F.lead("ord").over(stay))
-    is_top, upsert = F.col("slot") == "", F.col("kind") == UPSERT
-    emits = F.when(is_top & ~upsert, F.col("__before").isNotNull()).otherwise(F.col("__now").isNotNull() & (upsert | F.coalesce(F.col("__was") == UPSERT, F.lit(False))))
     delete = is_top & ~upsert
+    log = log.withColumn("__state", state).withColumns(
+        {
+            "__era": F.sum(delete.cast("int")).over(upto),
+            "__now": F.last("__state", ignorenulls=True).over(upto)["v"],
+            "__before": F.last("__state", ignorenulls=True).over(earlier)["v"],
+        }
+    )
+    stay = Window.partitionBy("parent", "slot", "child", "__era").orderBy("ord")
+    log = log.withColumns({"__was": F.lag("kind").over(stay), "__until": F.lead("ord").over(stay)})
+    emits = F.when(delete, F.col("__before").isNotNull()).otherwise(F.col("__now").isNotNull() & (upsert | F.coalesce(F.col("__was") == UPSERT, F.lit(False))))
     emitted = log.where(emits).select(
-        "parent", "ord", F.when(delete, DELETE).otherwise(UPSERT).alias("kind"), F.when(delete, F.col("__before")).otherwise(F.col("__now")).cast(value_type).alias("__top"), (F.col("__era") - delete.cast("int")).alias("__era")
+        "parent", "ord", _numbered("parent"), F.when(delete, DELETE).otherwise(UPSERT).alias("kind"), F.when(delete, F.col("__before")).otherwise(F.col("__now")).alias("__top"), (F.col("__era") - delete.cast("int")).alias("__era")
     )
-    out = emitted
-    for n, rows in routed.items():
-        stays = log.where((F.col("slot") == n) & upsert).join(rows.select("parent", "ord", F.col("value").alias("__child")), ["parent", "ord"])
-        stays = stays.select(F.col("parent").alias("__p"), F.col("ord").alias("__from"), "__until", F.col("__era").alias("__e"), "child", "__child")
-        there = (F.col("parent") == F.col("__p")) & (F.col("__era") == F.col("__e")) & (F.col("__from") <= F.col("ord")) & (F.col("__until").isNull() | (F.col("__until") > F.col("ord")))
-        held = emitted.select("parent", "ord", "__era").join(stays, there)
-        held = held.groupBy("parent", "ord").agg(F.array_sort(F.collect_list(F.struct(F.col("child").alias("id"), F.col("__child").alias("value")))).alias(f"__children_{n}"))
-        out = out.join(held, ["parent", "ord"], "left")
-    children = {n: F.coalesce(F.transform(F.col(f"__children_{n}"), lambda c: c["value"]), F.array()) for n in slots}
-    value = checked_value(assemble(F.col("__top"), children), what)
-    return out.select("kind", F.col("parent").alias("id"), value.alias("value"), F.col("ord.seq").alias("seq"), (F.col("ord.sub") * (len(slots) + 1) + F.col("ord.source")).cast("int").alias("sub"))
+    children = [c for c in values if c != "__parent"]
+    stays = log.where(~is_top & upsert).select(F.col("parent").alias("__p"), F.col("ord").alias("__from"), "__until", F.col("__era").alias("__e"), "slot", "child", *children)
+    there = (F.col("parent") == F.col("__p")) & (F.col("__era") == F.col("__e")) & (F.col("__from") <= F.col("ord")) & (F.col("__until").isNull() | (F.col("__until") > F.col("ord")))
+    held = emitted.select("parent", "ord", "sub", "__era").join(stays, there).groupBy("parent", "sub")
+    held = held.agg(*[F.array_sort(F.collect_list(F.when(F.col("slot") == n, F.struct(F.col("child").alias("id"), F.col(f"__child_{n}").alias("value"))))).alias(f"__children_{n}") for n in slots])
+    out = emitted.join(held, ["parent", "sub"], "left")
+    arrays = {n: F.coalesce(F.transform(F.col(f"__children_{n}"), lambda c: c["value"]), F.array()) for n in slots}
+    value = checked_value(assemble(F.col("__top"), arrays), what)
+    return out.select("kind", F.col("parent").alias("id"), value.alias("value"), F.col("ord.seq").alias("seq"), "sub")

@@ -10,59 +10,75 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.guards import checked_key, checked_value
 from ..operators.changes import DELETE, UPSERT, Key
 
+#: Set on frames that hold one live change per id, as the snapshots give them; any further operation drops it.
+_SINGLE = "_docloom_single"
+
 
 def latest(changes: DataFrame) -> DataFrame:
-    """The last change per id, upserts and deletes. One hash aggregate; partial results go through the shuffle."""
+    """The last change per id, upserts and deletes: one aggregate whose partial results go through the shuffle."""
     last = F.max_by(F.struct("kind", "value", "seq", "sub"), F.struct("seq", "sub")).alias("c")
     return changes.groupBy("id").agg(last).select("c.kind", "id", "c.value", "c.seq", "c.sub")
 
 
 def live(changes: DataFrame) -> DataFrame:
-    """The last change per id where that is an upsert."""
-    return latest(changes).where(F.col("kind") == UPSERT)
+    """The last change per id where that is an upsert. A snapshot's output is that already."""
+    return changes if getattr(changes, _SINGLE, False) else latest(changes).where(F.col("kind") == UPSERT)
 
 
-def lookup_snapshot(entities: DataFrame, dimensions: DataFrame, key: Key, enrich, require_match: bool = False) -> DataFrame:
-    """Each live entity with the live dimension of its key: a left join, or an inner join with ``require_match``."""
-    left = live(entities).withColumn("__key", key(F.col("value")).cast("string"))
-    right = live(dimensions).select(F.col("id").alias("__dim"), F.col("value").alias("__dimension"))
-    joined = left.join(right, F.col("__key") == F.col("__dim"), "inner" if require_match else "left")
-    return joined.select("kind", "id", enrich(F.col("value"), F.col("__dimension")).alias("value"), "seq", "sub")
+def _single(changes: DataFrame) -> DataFrame:
+    setattr(changes, _SINGLE, True)
+    return changes
 
 
-def grouped_children(children: DataFrame, parent_key: Key, cleared: DataFrame | None = None) -> DataFrame:
-    """``parent, children``: the live children of each parent, sorted by id.
+def lookup_snapshot(entities: DataFrame, dimensions: DataFrame, key: Key, enrich, require_match: bool, what: str) -> DataFrame:
+    """Each live entity with the live dimension of its key: a left join, or an inner join with ``require_match``.
 
-    ``cleared`` (``parent, cleared_seq``) has each parent's last delete: children that have not changed
-    since are forgotten.
+    A null key or enriched value fails the job.
     """
-    rows = live(children).withColumn("parent", parent_key(F.col("value")).cast("string"))
-    if cleared is not None:
-        rows = rows.join(cleared, "parent", "left").where(F.col("cleared_seq").isNull() | (F.col("seq") > F.col("cleared_seq")))
-    return rows.groupBy("parent").agg(F.array_sort(F.collect_list(F.struct("id", "value"))).alias("children"))
+    left = live(entities).withColumn("__key", checked_key(key(F.col("value")), F.col("id"), what))
+    right = live(dimensions).select(F.col("id").alias("__dim"), F.col("value").alias("__dimension"))
+    joined = left.join(right, F.col("__key") == F.col("__dim"), "inner" if require_match else "left")
+    enriched = F.when(F.col("__key").isNotNull(), enrich(F.col("value"), F.col("__dimension")))  # so the key is checked even if the dimension is not used
+    value = checked_value(enriched, what)
+    return _single(joined.select("kind", "id", value.alias("value"), "seq", "sub"))
+
 
+def grouped_children(children: DataFrame, parent_key: Key, what: str) -> DataFrame:
+    """``parent, children``: the live children of each parent with their order, sorted by id."""
+    rows = live(children).withColumn("parent", checked_key(parent_key(F.col("value")), F.col("id"), what))
+    return rows.groupBy("parent").agg(F.array_sort(F.collect_list(F.struct("id", "value", "seq"))).alias("children"))
 
-def last_deletes(parents: DataFrame) -> DataFrame:
-    return parents.where(F.col("kind") == DELETE).groupBy(F.col("id").alias("parent")).agg(F.max("seq").alias("cleared_seq"))
+
+def live_parents(parents: DataFrame) -> DataFrame:
+    """The live parents with ``cleared``: the order of their last delete, null without any. One aggregate."""
+    if getattr(parents, _SINGLE, False):
+        return parents.withColumn("cleared", F.lit(None).cast("long"))
+    last = F.max_by(F.struct("kind", "value", "seq", "sub"), F.struct("seq", "sub")).alias("c")
+    rows = parents.groupBy("id").agg(last, F.max(F.when(F.col("kind") == DELETE, F.col("seq"))).alias("cleared"))
+    return rows.where(F.col("c.kind") == UPSERT).select("c.kind", "id", "c.value", "c.seq", "c.sub", "cleared")
 
 
-def nest_snapshot(parents: DataFrame, slots: dict[str, tuple[DataFrame, Key]], assemble, history: bool = True) -> DataFrame:
+def nest_snapshot(parents: DataFrame, slots: dict[str, tuple[DataFrame, Key]], assemble, what: str) -> DataFrame:
     """Each live parent with its slots' children: ``assemble(parent, {slot: array of values})``.
 
-    Every slot is aggregated before it is joined, so a parent's rows meet one row per slot. With
-    ``history`` off the log is known to hold no parent deletes, which saves the look at them.
+    Every slot is aggregated before it is joined, so a parent's rows meet one row per slot. A parent's
+    delete forgets the children that came before it; at equal ``seq`` the parent comes first. A null
+    parent key or document fails the job.
     """
-    cleared = last_deletes(parents) if history else None
-    out = live(parents)
+    out, arrays = live_parents(parents), {}
     for name, (children, parent_key) in slots.items():
-        side = grouped_children(children, parent_key, cleared)
+        side = grouped_children(children, parent_key, f"{what} {name}")
         side = side.select(F.col("parent").alias(f"__parent_{name}"), F.col("children").alias(f"__children_{name}"))
         out = out.join(side, F.col("id") == F.col(f"__parent_{name}"), "left")
-    return out.select("kind", "id", assemble(F.col("value"), {n: values(F.col(f"__children_{n}")) for n in slots}).alias("value"), "seq", "sub")
+        arrays[name] = values(F.col(f"__children_{name}"), F.col("cleared"))
+    value = checked_value(assemble(F.col("value"), arrays), what)
+    return _single(out.select("kind", "id", value.alias("value"), "seq", "sub"))
 
 
-def values(children: Column) -> Column:
-    """The children's values; an empty array for a parent without any."""
-    return F.coalesce(F.transform(children, lambda c: c["value"]), F.array())
+def values(children: Column, cleared: Column) -> Column:
+    """The values of the children that were not cleared; an empty array for a parent without any."""
+    kept = F.when(cleared.isNull(), children).otherwise(F.filter(children, lambda c: c["seq"] >= cleared))
+    return F.coalesce(F.transform(kept, lambda c: c["value"]), F.array())

@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .operators.changes import changes_from, union_changes
 from .operators.lookup import Lookup
 from .operators.nest import Nest
-from .options import LookupOptions
+from .options import LookupOptions, NestOptions
 from .plans.replay import route
 from .plans.snapshot import latest
 from .scratch import scratch_path
 from .sources.kafka import encode_changes
 from .sources.search import newest_operations
+from .streaming import ROCKSDB
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +28,10 @@ def _never(_: Column) -> Column:
     return F.lit(False)
 
 
+def _shown_sub() -> Column:
+    return F.col("sub").cast("int").alias("sub")
+
+
 def rows_of(spark: SparkSession, sf_dir: str, name: str, id_: str, *columns: str) -> DataFrame:
     """A table's rows as upserts."""
     rows = table(spark, sf_dir, name).select(id_, *columns)
@@ -93,7 +99,7 @@ def latest_change_per_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def route_relocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     routed = route(user_events(spark, sf_dir), lambda v: v["k"], "events")
-    return routed.select("kind", "id", "seq", "sub", "key", "relocation")
+    return routed.select("kind", "id", "seq", _shown_sub(), "key", "relocation")
 
 
 def lookup_left_customer_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +128,7 @@ def _lookup_replay(require: bool):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         lookup = Lookup.of("user", user_events(spark, sf_dir), lambda v: v["k"]).with_options(LookupOptions(require_match=require))
         out = lookup.from_(nation_dimension(spark, sf_dir)).enrich(lambda e, d: F.struct(e["k"].alias("k"), d["n_name"].alias("nation")), mode="replay")
-        return out.select("kind", "id", "seq", "sub", "value.*")
+        return out.select("kind", "id", "seq", _shown_sub(), "value.*")
 
     return query
 
@@ -141,14 +147,15 @@ with {NATION_SQL}, {EVENTS_SQL}, dims as (
          lead(seq * 4 + 2 + part) over (partition by key, id order by seq, part) as until_pos
   from routed
 ), own as (
-  select kind, id, seq, (2 * part + 1)::int as sub, key as k,
+  select kind, id, seq, 1 as src, part, key as k,
          (select case when not d.gone then d.n_name end from dims d where d.key = s.key and d.seq <= s.seq order by d.seq desc limit 1) as dim_name
   from stays s where not relocation and (kind = 'U' or was is not null)
 ), other as (
-  select {other_kind} as kind, s.id, x.seq, 0 as sub, s.key as k, {other_name} as dim_name
+  select {other_kind} as kind, s.id, x.seq, 0 as src, 0 as part, s.key as k, {other_name} as dim_name
   from dims x join stays s on s.key = x.key and s.kind = 'U' and x.seq * 4 > s.pos and (s.until_pos is null or x.seq * 4 < s.until_pos) {other_where}
 )
-select kind, id, seq, sub, k, dim_name as nation from own {match} union all select kind, id, seq, sub, k, dim_name from other
+select kind, id, seq, (row_number() over (partition by id order by seq, src, part) - 1)::int as sub, k, dim_name as nation
+from (select * from own {match} union all select * from other)
 """
 
 
@@ -252,33 +259,155 @@ def nest_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nest_replay_emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that is emitted while events move users between keys and parents go and come."""
-    return _nest_users(spark, sf_dir, _parents_with_deletes(spark, sf_dir), "replay").select("kind", "id", "seq", "sub", "value.*")
+    return _nest_users(spark, sf_dir, _parents_with_deletes(spark, sf_dir), "replay").select("kind", "id", "seq", _shown_sub(), "value.*")
 
 
-def stream_nest_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last change per key of the same level run as a stream over all files, with its state in RocksDB."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    home = scratch_path(spark, "stream-nest")
-    parts = {"parents": _parents_with_deletes(spark, sf_dir), "users": user_events(spark, sf_dir)}
-    streams = {}
-    for name, part in parts.items():
+def _twins(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Parents and users of which many changes share their order: events in hundreds, a user's last of each counts."""
+    tens = (F.col("seq") / 100).cast("long")
+    users = user_events(spark, sf_dir).withColumn("seq", tens)
+    last = users.groupBy("id", "seq").agg(F.max_by(F.struct("kind", "value"), "value.event_id").alias("c")).select("c.kind", "id", "c.value", "seq", F.lit(0).cast("long").alias("sub"))
+    return _parents_with_deletes(spark, sf_dir).withColumn("seq", tens), last
+
+
+def nest_replay_equal_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``nest_replay_emissions`` where the children's changes share their order with each other and with the parents'."""
+    parents, users = _twins(spark, sf_dir)
+    level = Nest.parent("key", parents)
+    slot = level.child("users", users, lambda v: v["k"])
+    out = level.assemble(lambda p, c: F.struct(F.size(c[slot]).alias("n"), _joined(c[slot], "user_id").alias("users")), mode="replay")
+    return out.select("kind", "id", "seq", _shown_sub(), "value.*")
+
+
+def nest_snapshot_equal_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are left of ``nest_replay_equal_seq``, by the snapshot."""
+    parents, users = _twins(spark, sf_dir)
+    level = Nest.parent("key", parents)
+    slot = level.child("users", users, lambda v: v["k"])
+    return level.assemble(lambda p, c: F.struct(F.size(c[slot]).alias("n"), _joined(c[slot], "user_id").alias("users"))).select("id", "value.*")
+
+
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def streamed(spark: SparkSession, tag: str, inputs: dict[str, DataFrame], build, seconds: int = 1800) -> DataFrame:
+    """All changes of ``build(streams)``, run over files of the inputs to their end, with ``batch``, the micro-batch of each.
+
+    State is in RocksDB, which the session is set to while the stream runs.
+    """
+    home, streams = scratch_path(spark, tag), {}
+    for name, part in inputs.items():
         part.write.parquet(f"{home}/{name}")
         streams[name] = spark.readStream.schema(part.schema).parquet(f"{home}/{name}")
-    level = Nest.parent("key", streams["parents"])
-    users = level.child("users", streams["users"], lambda v: v["k"])
-    out = level.assemble(lambda p, c: F.struct(F.size(c[users]).alias("n"), _joined(c[users], "user_id").alias("users")))
+    out = build(streams)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{home}/out/batch={number}")
 
-    out.writeStream.outputMode("update").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    return latest(spark.read.parquet(f"{home}/out")).select("kind", "id", "seq", "value.*")
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, ROCKSDB)
+    try:
+        query = out.writeStream.outputMode("update").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
+        if not query.awaitTermination(seconds):
+            query.stop()
+            raise TimeoutError(f"{tag}: the stream did not end within {seconds} s")
+    finally:
+        spark.conf.set(_PROVIDER, before)
+    return spark.read.schema(T.StructType([*out.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{home}/out")
+
+
+def last_streamed(changes: DataFrame) -> DataFrame:
+    """The last change per id of a stream's changes: later micro-batches are later, within one ``(seq, sub)`` orders."""
+    last = F.max_by(F.struct("kind", "value", "seq", "sub"), F.struct("batch", "seq", "sub")).alias("c")
+    return changes.groupBy("id").agg(last).select("c.kind", "id", "c.value", "c.seq", "c.sub")
+
+
+def stream_nest_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last change per key of the same level run as a stream that emits a parent's last document of a micro-batch."""
+
+    def build(streams: dict[str, DataFrame]) -> DataFrame:
+        level = Nest.parent("key", streams["parents"]).with_options(NestOptions(coalesce=True))
+        users = level.child("users", streams["users"], lambda v: v["k"])
+        return level.assemble(lambda p, c: F.struct(F.size(c[users]).alias("n"), _joined(c[users], "user_id").alias("users")))
+
+    inputs = {"parents": _parents_with_deletes(spark, sf_dir), "users": user_events(spark, sf_dir)}
+    return last_streamed(streamed(spark, "stream-nest", inputs, build)).select("kind", "id", "seq", "value.*")
+
 
+def _users_with_nation(streams: dict[str, DataFrame]) -> DataFrame:
+    lookup = Lookup.of("user", streams["users"], lambda v: v["k"]).from_(streams["nations"])
+    return lookup.enrich(lambda e, d: F.struct(e["k"].alias("k"), d["n_name"].alias("nation")))
 
-NEST_REPLAY_SQL = f"""
-with {PARENTS_SQL}, {EVENTS_SQL}, log as (
-  select id as parent, '' as child, case when gone then 'D' else 'U' end as kind, seq * 4 as pos, seq, 0 as sub from parents
-  union all select key, id, kind, seq * 4 + 2 + part, seq, (2 * part + 1)::int from routed
+
+def stream_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last change per user of the lookup of ``lookup_replay_left`` run as a stream."""
+    inputs = {"users": user_events(spark, sf_dir), "nations": nation_dimension(spark, sf_dir)}
+    return last_streamed(streamed(spark, "stream-lookup", inputs, _users_with_nation)).select("kind", "id", "value.*")
+
+
+def search_bulk_ops_two_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations of a streamed lookup whose two sources number their records independently.
+
+    The dimension's numbers lie far above the entities', so an old dimension's number must not beat a later move.
+    """
+    nations = nation_dimension(spark, sf_dir).withColumn("seq", F.col("seq") + 1_000_000_000)
+    inputs = {"users": user_events(spark, sf_dir), "nations": nations}
+    last = last_streamed(streamed(spark, "stream-search", inputs, _users_with_nation))
+    return newest_operations(last).select("id", "action", "document", "bytes")
+
+
+def stream_two_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``nest_two_slots`` as a stream."""
+
+    def build(streams: dict[str, DataFrame]) -> DataFrame:
+        level = Nest.parent("nation", streams["nations"]).with_options(NestOptions(coalesce=True))
+        customers = level.child("customers", streams["customers"], lambda v: v["c_nationkey"])
+        suppliers = level.child("suppliers", streams["suppliers"], lambda v: v["s_nationkey"])
+        return level.assemble(
+            lambda p, c: F.struct(p["n_name"].alias("name"), _joined(c[customers], "c_custkey").alias("customers"), _joined(c[suppliers], "s_suppkey").alias("suppliers"))
+        )
+
+    inputs = {
+        "nations": rows_of(spark, sf_dir, "nation", "n_nationkey", "n_name"), "customers": rows_of(spark, sf_dir, "customer", "c_custkey", "c_nationkey"),
+        "suppliers": rows_of(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey"),
+    }
+    return last_streamed(streamed(spark, "stream-slots", inputs, build)).where(F.col("kind") == "U").select("id", "value.*")
+
+
+def stream_two_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions with their nations, and these with their suppliers, as a stream of two levels."""
+
+    def build(streams: dict[str, DataFrame]) -> DataFrame:
+        nations = Nest.parent("nation", streams["nations"])
+        suppliers = nations.child("suppliers", streams["suppliers"], lambda v: v["s_nationkey"])
+        docs = nations.assemble(lambda p, c: F.struct(p["n_name"].alias("name"), p["n_regionkey"].alias("region"), _joined(c[suppliers], "s_suppkey").alias("suppliers")))
+        regions = Nest.parent("region", streams["regions"])
+        slot = regions.child("nations", docs, lambda v: v["region"])
+        return regions.assemble(lambda p, c: F.struct(p["r_name"].alias("name"), _joined(c[slot], "name").alias("nations"), F.array_join(F.transform(c[slot], lambda x: x["suppliers"]), ";").alias("suppliers")))
+
+    inputs = {
+        "regions": rows_of(spark, sf_dir, "region", "r_regionkey", "r_name"), "nations": rows_of(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey"),
+        "suppliers": rows_of(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey"),
+    }
+    return last_streamed(streamed(spark, "stream-levels", inputs, build)).select("kind", "id", "value.*")
+
+
+#: The same tables with orders in hundreds, of which an id's last change counts.
+_TWIN_PARENTS_SQL = PARENTS_SQL.replace("select p::varchar as id, seq, gone", "select p::varchar as id, seq // 100 as seq, gone")
+_TWIN_EVENTS_SQL = EVENTS_SQL.replace(
+    "from events\n)",
+    "from (select *, event_id // 100 as h from events qualify row_number() over (partition by user_id, event_id // 100 order by event_id desc) = 1)\n)",
+).replace("event_id as seq", "h as seq")
+
+
+def _nest_replay_sql(parents: str, events: str) -> str:
+    """Places order a parent's log: by seq, the parent first, then what leaves or comes (part), then ids."""
+    return f"""
+with {parents}, {events}, unplaced as (
+  select id as parent, '' as child, case when gone then 'D' else 'U' end as kind, 0 as src, 0 as part, seq from parents
+  union all select key, id, kind, 1, part, seq from routed
+), log as (
+  select *, row_number() over (partition by parent order by seq, src, part, child) as pos from unplaced
 ), eras as (
   select *, sum((child = '' and kind = 'D')::int) over (partition by parent order by pos) as era,
          last_value(case when child = '' then kind end ignore nulls) over (partition by parent order by pos rows between unbounded preceding and current row) as now_kind,
@@ -287,18 +416,22 @@ with {PARENTS_SQL}, {EVENTS_SQL}, log as (
 ), stays as (
   select *, lag(kind) over (partition by parent, child, era order by pos) as was, lead(pos) over (partition by parent, child, era order by pos) as until_pos from eras
 ), emitted as (
-  select parent, kind, pos, seq, sub, era from stays where child = '' and kind = 'U'
-  union all select parent, 'D', pos, seq, sub, era - 1 from stays where child = '' and kind = 'D' and before_kind = 'U'
-  union all select parent, 'U', pos, seq, sub, era from stays where child <> '' and now_kind = 'U' and (kind = 'U' or was = 'U')
+  select parent, kind, pos, seq, era from stays where child = '' and kind = 'U'
+  union all select parent, 'D', pos, seq, era - 1 from stays where child = '' and kind = 'D' and before_kind = 'U'
+  union all select parent, 'U', pos, seq, era from stays where child <> '' and now_kind = 'U' and (kind = 'U' or was = 'U')
 ), held as (
   select e.parent, e.pos, count(s.child) as n, string_agg(s.child, ',' order by s.child) as users
   from emitted e left join stays s on s.parent = e.parent and s.child <> '' and s.kind = 'U' and s.era = e.era and s.pos <= e.pos and (s.until_pos is null or s.until_pos > e.pos)
   group by e.parent, e.pos
 )
-select e.kind, e.parent as id, e.seq, e.sub, h.n::int as n, coalesce(h.users, '') as users from emitted e join held h on h.parent = e.parent and h.pos = e.pos
+select e.kind, e.parent as id, e.seq, (row_number() over (partition by e.parent order by e.pos) - 1)::int as sub, h.n::int as n, coalesce(h.users, '') as users from emitted e join held h on h.parent = e.parent and h.pos = e.pos
 """
 
 
+NEST_REPLAY_SQL = _nest_replay_sql(PARENTS_SQL, EVENTS_SQL)
+TWIN_REPLAY_SQL = _nest_replay_sql(_TWIN_PARENTS_SQL, _TWIN_EVENTS_SQL)
+
+
 def kafka_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode_changes(user_events(spark, sf_dir).withColumn("value", F.struct(F.col("value.k").alias("k"))))
     return out.select(F.decode("key", "UTF-8").alias("key"), F.decode("value", "UTF-8").alias("value"))
@@ -349,13 +482,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "nest_cascade_delete": nest_cascade_delete,
     "nest_orphans": nest_orphans,
     "nest_replay_emissions": nest_replay_emissions,
+    "nest_replay_equal_seq": nest_replay_equal_seq,
+    "nest_snapshot_equal_seq": nest_snapshot_equal_seq,
     "stream_nest_users": stream_nest_users,
+    "stream_lookup": stream_lookup,
+    "stream_two_slots": stream_two_slots,
+    "stream_two_levels": stream_two_levels,
+    "search_bulk_ops_two_sources": search_bulk_ops_two_sources,
     "kafka_encode": kafka_encode,
     "search_bulk_ops": search_bulk_ops,
     "union_customers_suppliers": union_customers_suppliers,
     "conversations_doc": conversations_doc,
 }
 
+TWO_SLOTS_SQL = """
+    select n_nationkey::varchar as id, n_name as name,
+           coalesce((select string_agg(c_custkey::varchar, ',' order by c_custkey::varchar) from customer where c_nationkey = n_nationkey), '') as customers,
+           coalesce((select string_agg(s_suppkey::varchar, ',' order by s_suppkey::varchar) from supplier where s_nationkey = n_nationkey), '') as suppliers
+    from nation"""
 _LAST_EVENTS = f"with {EVENTS_SQL}, ended as (select id, arg_max(kind, seq) as kind, max(seq) as seq, arg_max(k, seq) as k from ev group by id)"
 _CLEARED = "cleared as (select id, max(seq) as cut from parents where gone group by id)"
 
@@ -387,19 +531,37 @@ ORACLE: dict[str, str] = {
                coalesce(string_agg(coalesce(lines, ''), ';' order by o_orderkey::varchar) filter (o_orderkey is not null), '') as lines
         from customer left join nation on c_nationkey = n_nationkey left join orders on c_custkey = o_custkey left join l on o_orderkey = l_orderkey
         group by c_custkey""",
-    "nest_two_slots": """
-        select n_nationkey::varchar as id, n_name as name,
-               coalesce((select string_agg(c_custkey::varchar, ',' order by c_custkey::varchar) from customer where c_nationkey = n_nationkey), '') as customers,
-               coalesce((select string_agg(s_suppkey::varchar, ',' order by s_suppkey::varchar) from supplier where s_nationkey = n_nationkey), '') as suppliers
-        from nation""",
+    "nest_two_slots": TWO_SLOTS_SQL,
+    "stream_two_slots": TWO_SLOTS_SQL,
     "nest_cascade_delete": f"""
         {_LAST_EVENTS}, {PARENTS_SQL}, {_CLEARED}, top as (select id from parents group by id having not arg_max(gone, seq))
         select t.id, count(e.id)::int as n, coalesce(string_agg(e.id, ',' order by e.id), '') as users
-        from top t left join cleared c on c.id = t.id left join ended e on e.k = t.id and e.kind = 'U' and e.seq > coalesce(c.cut, -1) group by t.id""",
+        from top t left join cleared c on c.id = t.id left join ended e on e.k = t.id and e.kind = 'U' and e.seq >= coalesce(c.cut, -1) group by t.id""",
     "nest_orphans": f"""
         {_LAST_EVENTS} select p::varchar as id, count(e.id)::int as n, coalesce(string_agg(e.id, ',' order by e.id), '') as users
         from (select range as p from range(100) where range % 2 = 1) left join ended e on e.k = p::varchar and e.kind = 'U' group by p""",
     "nest_replay_emissions": NEST_REPLAY_SQL,
+    "nest_replay_equal_seq": TWIN_REPLAY_SQL,
+    "nest_snapshot_equal_seq": f"select id, arg_max(n, sub) as n, arg_max(users, sub) as users from ({TWIN_REPLAY_SQL}) group by id having arg_max(kind, sub) = 'U'",
+    "stream_lookup": f"""
+        select c.kind as kind, id, c.k as k, c.nation as nation from (
+          select id, arg_max({{'kind': kind, 'k': k, 'nation': nation}}, (seq, sub)) as c from ({_lookup_replay_sql(False)}) group by id
+        )""",
+    "stream_two_levels": """
+        with n as (
+          select n_nationkey::varchar as id, n_name, n_regionkey,
+                 coalesce((select string_agg(s_suppkey::varchar, ',' order by s_suppkey::varchar) from supplier where s_nationkey = n_nationkey), '') as suppliers from nation
+        )
+        select 'U' as kind, r_regionkey::varchar as id, r_name as name, coalesce(string_agg(n_name, ',' order by id), '') as nations,
+               coalesce(string_agg(suppliers, ';' order by id), '') as suppliers
+        from region left join n on n_regionkey = r_regionkey group by r_regionkey, r_name""",
+    "search_bulk_ops_two_sources": f"""
+        {_LAST_EVENTS}, {NATION_SQL}, last_dim as (select key, case when not arg_max(gone, seq) then arg_max(n_name, seq) end as nation from dim group by key),
+        written as (
+          select id, kind, '{{"k":"' || k || '","nation":' || coalesce('"' || nation || '"', 'null') || '}}' as body from ended left join last_dim on k = key
+        )
+        select id, case kind when 'U' then 'index' else 'delete' end as action, case when kind = 'U' then body end as document,
+               case when kind = 'U' then strlen(body) + 64 else 64 end as bytes from written""",
     "stream_nest_users": f"select arg_max(kind, (seq, sub)) as kind, id, max(seq) as seq, arg_max(n, (seq, sub)) as n, arg_max(users, (seq, sub)) as users from ({NEST_REPLAY_SQL}) group by id",
     "kafka_encode": f"""with {EVENTS_SQL} select id as key, case when kind = 'U' then '{{"k":"' || k || '"}}' end as value from ev""",
     "search_bulk_ops": f"""

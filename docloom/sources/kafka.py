@@ -163,11 +163,21 @@ def decode_records(records: DataFrame, decode: Decoder) -> DataFrame:
     return records.withColumn("value", decode(checked)).where(F.col("value").isNotNull())
 
 
-def changes_from_records(name: str, records: DataFrame, decode: Decoder, id: Key, deletes: DeleteFlag) -> DataFrame:
-    """Records as changes. The order is the offset: changes of an id come from one partition."""
-    rows = decode_records(records, decode).select("value.*", F.col("offset").alias("__offset"))
-    fields = [c for c in rows.columns if c != "__offset"]
-    return changes_from(name, rows, id, deletes.condition, lambda r: r["__offset"], lambda r: F.struct(*[r[f].alias(f) for f in fields]))
+def changes_from_records(name: str, records: DataFrame, decode: Decoder, id: Key, deletes: DeleteFlag, order: str = "offset") -> DataFrame:
+    """Records as changes, ordered by ``order``: 'offset', or 'timestamp' in milliseconds with the offset after it.
+
+    Changes of an id come from one partition, where the offset orders them. Streams compare nothing
+    else: each step numbers what it emits. A batch replay or snapshot of several topics lays their
+    changes on one line, for which it needs 'timestamp', set by the broker so that it does not fall.
+    """
+    if order not in ("offset", "timestamp"):
+        raise ConfigurationError(f"order {order!r} is neither offset nor timestamp")
+    at = F.col("offset") if order == "offset" else F.unix_millis("timestamp")
+    rows = decode_records(records, decode).select("value.*", at.alias("__order"), F.col("offset").alias("__offset"))
+    fields = [c for c in rows.columns if c not in ("__order", "__offset")]
+    return changes_from(
+        name, rows, id, deletes.condition, lambda r: r["__order"], lambda r: F.struct(*[r[f].alias(f) for f in fields]), None if order == "offset" else lambda r: r["__offset"]
+    )
 
 
 def encode_changes(changes: DataFrame, encode: Encoder = json_encoder) -> DataFrame:
@@ -177,7 +187,7 @@ def encode_changes(changes: DataFrame, encode: Encoder = json_encoder) -> DataFr
 
 
 def read_changes(name: str, spark: SparkSession, options: KafkaSourceOptions, decode: Decoder, id: Key, deletes: DeleteFlag) -> DataFrame:
-    """One topic as a stream of changes, without watermark."""
+    """One topic as a stream of changes in the order of the offsets, without watermark."""
     records = spark.readStream.format("kafka").options(**options.reader()).load()
     return changes_from_records(checked_name(name, "source name"), records, decode, id, deletes)
 

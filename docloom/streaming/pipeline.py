@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.guards import checked_value
 from ..names import state_id
-from ..operators.changes import ENVELOPE, Key
+from ..operators.changes import Key
 from ..options import LookupOptions, NestOptions, millis
 from .processors import LookupProcessor, NestProcessor, RouteProcessor
 
@@ -23,31 +23,37 @@ def _mode(*durations: object) -> str:
     return "ProcessingTime" if any(d is not None for d in durations) else "None"
 
 
-def route_stream(changes: DataFrame, key: Key, state: str, ttl: int | None, what: str, mode: str) -> DataFrame:
-    value = changes.schema["value"].dataType
-    rows = changes.select(*ENVELOPE, F.lit(0).alias("src"), key(F.col("value")).cast("string").alias("key"))
+def route_stream(inputs: list[tuple[DataFrame, Key, str, int | None, str]], mode: str) -> DataFrame:
+    """Several sources' (changes, key, state id, TTL, name) routed by one stateful step: ``src, kind, id, value_<src>..., seq, sub, key, relocation``."""
+    kinds = [c.schema["value"].dataType for c, *_ in inputs]
+    rows = None
+    for src, (changes, key, *_) in enumerate(inputs):
+        values = [(F.col("value") if k == src else F.lit(None).cast(kind)).alias(f"value_{k}") for k, kind in enumerate(kinds)]
+        part = changes.select(F.lit(src).alias("src"), "kind", "id", *values, "seq", F.col("sub").cast("long").alias("sub"), key(F.col("value")).cast("string").alias("key"))
+        rows = part if rows is None else rows.unionByName(part)
     out = T.StructType(
-        [
-            T.StructField("kind", T.StringType()), T.StructField("id", T.StringType()), T.StructField("value", value), T.StructField("seq", T.LongType()),
-            T.StructField("sub", T.IntegerType()), T.StructField("key", T.StringType()), T.StructField("relocation", T.BooleanType()),
-        ]
-    )
-    return rows.groupBy("id").transformWithState(RouteProcessor(state, value, ttl, what), out, "Update", mode)
+        [T.StructField("src", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("id", T.StringType())]
+        + [T.StructField(f"value_{k}", kind) for k, kind in enumerate(kinds)]
+        + [T.StructField("seq", T.LongType()), T.StructField("sub", T.LongType()), T.StructField("key", T.StringType()), T.StructField("relocation", T.BooleanType())]
+    )
+    slots = [(state, kind, ttl, what) for (_, _, state, ttl, what), kind in zip(inputs, kinds, strict=True)]
+    return rows.groupBy("src", "id").transformWithState(RouteProcessor(slots), out, "Update", mode)
 
 
 def lookup_stream(name: str, entities: DataFrame, dimensions: DataFrame, key: Key, enrich, options: LookupOptions) -> DataFrame:
     ttl = millis(options.state_ttl)
     mode = _mode(ttl)
     entity, dimension = entities.schema["value"].dataType, dimensions.schema["value"].dataType
-    routed = route_stream(entities, key, state_id("route", name), ttl, f"lookup {name}", mode)
-    left = routed.select("key", "kind", "id", F.col("value").alias("entity"), F.lit(None).cast(dimension).alias("dimension"), "relocation", "seq", "sub", F.lit(1).alias("src"))
+    routed = route_stream([(entities, key, state_id("route", name), ttl, f"lookup {name}")], mode)
+    left = routed.select("key", "kind", "id", F.col("value_0").alias("entity"), F.lit(None).cast(dimension).alias("dimension"), "relocation", "seq", "sub", F.lit(1).alias("src"))
     right = dimensions.select(
-        F.col("id").alias("key"), "kind", "id", F.lit(None).cast(entity).alias("entity"), F.col("value").alias("dimension"), F.lit(False).alias("relocation"), "seq", "sub", F.lit(0).alias("src")
+        F.col("id").alias("key"), "kind", "id", F.lit(None).cast(entity).alias("entity"), F.col("value").alias("dimension"), F.lit(False).alias("relocation"), "seq",
+        F.col("sub").cast("long").alias("sub"), F.lit(0).alias("src"),
     )
     out = T.StructType(
         [
             T.StructField("kind", T.StringType()), T.StructField("id", T.StringType()), T.StructField("entity", entity), T.StructField("dimension", dimension),
-            T.StructField("seq", T.LongType()), T.StructField("sub", T.IntegerType()),
+            T.StructField("seq", T.LongType()), T.StructField("sub", T.LongType()),
         ]
     )
     processor = LookupProcessor(name, entity, dimension, ttl, options.require_match)
@@ -57,28 +63,23 @@ def lookup_stream(name: str, entities: DataFrame, dimensions: DataFrame, key: Ke
 
 
 def nest_stream(name: str, parents: DataFrame, inputs: dict, assemble, options: NestOptions) -> DataFrame:
-    """``inputs`` has (changes, parent key, options) by slot in declaration order."""
+    """``inputs`` has (changes, parent key, options) by slot in declaration order. One step routes the children of all slots, one nests them."""
     parent_ttl, orphan = millis(options.parent_state_ttl), millis(options.orphan_timeout)
     ttls = {n: millis(o.state_ttl) for n, (_, _, o) in inputs.items()}
     mode = _mode(parent_ttl, orphan, *ttls.values())
     parent = parents.schema["value"].dataType
     kinds = {n: c.schema["value"].dataType for n, (c, _, _) in inputs.items()}
-
-    def shaped(frame: DataFrame, key: str, src: int, filled: str) -> DataFrame:
-        cells = {"parent": parent, **{f"child_{n}": kind for n, kind in kinds.items()}}
-        columns = [(F.col("value") if c == filled else F.lit(None).cast(kind)).alias(c) for c, kind in cells.items()]
-        return frame.select(F.col(key).alias("parent_id"), "kind", "id", *columns, "seq", "sub", F.lit(src).alias("src"))
-
-    rows = shaped(parents, "id", 0, "parent")
-    for i, (n, (changes, key, _)) in enumerate(inputs.items()):
-        routed = route_stream(changes, key, state_id("child_route", name, n), ttls[n], f"nest {name} {n}", mode)
-        rows = rows.unionByName(shaped(routed, "key", i + 1, f"child_{n}"))
+    routed = route_stream([(c, k, state_id("child_route", name, n), ttls[n], f"nest {name} {n}") for n, (c, k, _) in inputs.items()], mode)
+    tops = [F.lit(None).cast(kind).alias(f"child_{n}") for n, kind in kinds.items()]
+    tops = parents.select(F.col("id").alias("parent_id"), "kind", "id", F.col("value").alias("parent"), *tops, "seq", F.col("sub").cast("long").alias("sub"), F.lit(0).alias("src"))
+    children = [F.col(f"value_{k}").alias(f"child_{n}") for k, n in enumerate(kinds)]
+    rows = routed.select(F.col("key").alias("parent_id"), "kind", "id", F.lit(None).cast(parent).alias("parent"), *children, "seq", "sub", (F.col("src") + 1).alias("src"))
     out = T.StructType(
         [T.StructField("kind", T.StringType()), T.StructField("id", T.StringType()), T.StructField("parent", parent)]
         + [T.StructField(f"children_{n}", T.ArrayType(kind)) for n, kind in kinds.items()]
-        + [T.StructField("seq", T.LongType()), T.StructField("sub", T.IntegerType())]
+        + [T.StructField("seq", T.LongType()), T.StructField("sub", T.LongType())]
     )
-    processor = NestProcessor(name, parent, [(n, kinds[n], ttls[n]) for n in inputs], parent_ttl, orphan)
-    emitted = rows.groupBy("parent_id").transformWithState(processor, out, "Update", mode)
+    processor = NestProcessor(name, parent, [(n, kinds[n], ttls[n]) for n in inputs], parent_ttl, orphan, options.coalesce)
+    emitted = tops.unionByName(rows).groupBy("parent_id").transformWithState(processor, out, "Update", mode)
     value = checked_value(assemble(F.col("parent"), {n: F.col(f"children_{n}") for n in inputs}), f"nest {name}")
     return emitted.select("kind", "id", value.alias("value"), "seq", "sub")

@@ -85,23 +85,48 @@ class LookupRules:
 
 
 class NestRules:
-    """A parent, its children by slot and what was last emitted; emits (kind, parent's value, children by slot)."""
+    """A parent, its children by slot and what was last emitted; emits (kind, parent's value, children by slot).
 
-    def __init__(self, parent: Cell, slots: list[Table], last: Cell):
-        self.parent, self.slots, self.last = parent, slots, last
+    With ``coalesce`` documents wait for ``end``, or for the parent's delete, and only the last one is
+    made. ``place`` is set by the caller before a change and comes back with what waited since.
+    """
+
+    def __init__(self, parent: Cell, slots: list[Table], last: Cell, coalesce: bool = False):
+        self.parent, self.slots, self.last, self.coalesce = parent, slots, last, coalesce
+        self.place: Any = None
+        self.waiting, self.deleted = None, []
+
+    def _document(self) -> tuple:
+        return self.parent.get(), [[v for _, v in s.items()] for s in self.slots]
 
     def _emit(self) -> Iterator[tuple[str, tuple]]:
-        document = (self.parent.get(), [[v for _, v in s.items()] for s in self.slots])
+        if self.coalesce:
+            self.waiting = (self.place,)
+            return
+        document = self._document()
         self.last.put(document)
         yield UPSERT, document
 
+    def end(self) -> Iterator[tuple[Any, str, tuple]]:
+        """What has waited, with its place: the last delete, then the last document."""
+        yield from self.deleted
+        if self.waiting:
+            document = self._document()
+            self.last.put(document)
+            yield *self.waiting, UPSERT, document
+        self.waiting, self.deleted = None, []
+
     def parent_change(self, kind: str, value: Any) -> Iterator[tuple[str, tuple]]:
         if kind == UPSERT:
             self.parent.put(value)
             yield from self._emit()
             return
-        if self.parent.get() is not None and (last := self.last.get()) is not None:
-            yield DELETE, last
+        if self.parent.get() is not None and (last := self._document() if self.waiting else self.last.get()) is not None:
+            if self.coalesce:
+                self.deleted = [(self.place, DELETE, last)]
+            else:
+                yield DELETE, last
+        self.waiting = None
         self.parent.clear()
         self.last.clear()
         self.forget_children()
