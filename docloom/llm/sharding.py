@@ -1,9 +1,10 @@
 """Sharding: proportional stratified interleaving.
 
 Every source's rows are put into a seeded random order; the row of rank r among n gets the fractional
-rank (r - 1/2) / n. Sorting all rows by fractional rank interleaves the sources in proportion, and
-cutting that order into equal runs gives shards that all match the corpus mixture, with counts at most
-one apart (law ``rows``).
+rank (r - 1 + phase) / n, where the phase between 0 and 1 is drawn from seed and source, so that sources
+of equal size do not fall into step and sources of one row spread out. Sorting all rows by fractional
+rank interleaves the sources in proportion, and cutting that order into equal runs gives shards that
+all match the corpus mixture, with counts at most one apart (law ``rows``).
 
 Only DataFrame functions are used. No window holds a whole source: ranks are row numbers within
 (source, hash range) plus the counts of smaller ranges, and positions are row numbers within ranges of
@@ -22,6 +23,7 @@ from .common import id_text, materialize, md5_bits, prefix_offsets, utf8_bytes
 #: Rows that one hash range should hold on average at most.
 RANGE_ROWS = 20_000
 HASH_BITS = 48
+PHASE_BITS = 40
 
 
 def shard_documents(
@@ -35,9 +37,10 @@ def shard_documents(
     """One row per input row: ``doc_id, size, text_crc32, law, shard, slot, grown_shard, source, fraction``.
 
     Null texts count no bytes and have the checksum of the empty text; a null source is a stratum of
-    its own, sorted before the others; null ids hash as the empty text. Rows that share an id are
-    ranked by size and checksum; equal rows are interchangeable. Fewer rows than shards leave shards
-    empty; an empty table gives an empty result. Other columns of ``docs`` are not looked at.
+    its own, sorted before the others; null ids hash as the empty text. Rows that share an id differ
+    in their hash by size and checksum; equal rows are interchangeable. Texts are only measured, so very
+    long ones are rows like others. Fewer rows than shards leave shards empty; an empty table gives an
+    empty result. Other columns of ``docs`` are not looked at.
     """
     n = docs.count()
     bits = min(24, max(8, math.ceil(math.log2(max(n, 1) / RANGE_ROWS))))
@@ -46,8 +49,9 @@ def shard_documents(
         F.col(source_col).alias("source"),
         (utf8_bytes(text_col) + 8).alias("size"),
         F.crc32(F.coalesce(F.col(text_col), F.lit(""))).alias("text_crc32"),
-        md5_bits(F.concat(F.lit(f"{seed}:"), id_text(id_col)), HASH_BITS).alias("key"),
-    ).withColumn("range", F.shiftright("key", HASH_BITS - bits).cast("int"))
+    )
+    name = F.concat_ws(":", F.lit(str(seed)), id_text("doc_id"), "size", "text_crc32")
+    base = base.withColumn("key", md5_bits(name, HASH_BITS)).withColumn("range", F.shiftright("key", HASH_BITS - bits).cast("int"))
     counts = base.groupBy("source", "range").agg(F.count("*").alias("n"))
     source = Window.partitionBy("source")
     earlier = source.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -60,9 +64,10 @@ def shard_documents(
     shuffled = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", "text_crc32")
     ranked = base.withColumn("rank", F.row_number().over(shuffled))
     ranked = ranked.join(counts, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("g")))
-    ranked = ranked.select(
-        "doc_id", "source", "size", "text_crc32", ((F.col("rank") + F.col("before") - 0.5) / F.col("in_source")).alias("fraction")
-    )
+    stratum = F.coalesce(F.concat(F.lit("source:"), F.col("source").cast("string")), F.lit("none"))
+    phase = (md5_bits(F.concat(F.lit(f"{seed}:"), stratum), PHASE_BITS) + 0.5) / F.lit(float(1 << PHASE_BITS))
+    fraction = (F.col("rank") + F.col("before") - 1 + phase) / F.col("in_source")
+    ranked = ranked.select("doc_id", "source", "size", "text_crc32", F.least(fraction, F.lit(1 - 2.0**-40)).alias("fraction"))
     ranked = materialize(ranked, "shard-ranks").withColumn("slice", F.floor(F.col("fraction") * F.lit(1 << bits)).cast("int"))
     slices = prefix_offsets(ranked.groupBy("slice").agg(F.count("*").alias("n")), "slice", "n")
     along = Window.partitionBy("slice").orderBy("fraction", "source", "doc_id", "size", "text_crc32")
