@@ -2,8 +2,10 @@
 
 A document of a source with target repetition rate L is kept K times, K drawn from the Poisson
 distribution with mean L: a hash of seed and id gives a uniform number, which the inverted cumulative
-distribution turns into K. Each document decides alone, so the mixture needs no ranking, no sampling
-pass and no state. The copies are exploded and dealt out by a hash of (id, copy), which is a global shuffle.
+distribution turns into K. A large mean is the sum of draws with means of at most ``DRAW``, which is
+the same distribution, so a distribution's table is small whatever the rate. Each document decides
+alone, so the mixture needs no ranking, no sampling pass and no state. The copies are exploded and dealt
+out by a hash of (id, copy), which is a global shuffle.
 
 Only DataFrame functions are used. One row per source holds its rate and cumulative distribution;
 Spark broadcasts that table where its size allows and joins it by shuffle, with skew handling, where not.
@@ -14,10 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import ConfigurationError
 from .common import id_text, materialize, md5_bits, utf8_bytes
 
 UNIFORM_BITS = 52
 KEY_BITS = 60
+#: Largest mean of a single draw.
+DRAW = 64
 
 
 def source_rates(
@@ -81,17 +86,29 @@ def mix_sources(
 
     Rows that share an id get the same number of copies. A null source is a source of its own, null
     ids hash as the empty text, null and empty texts weigh nothing but are replicated like their
-    source's others. An empty table gives an empty result. Columns of ``docs`` that are called
-    ``mix_copy`` or ``mix_key`` are replaced, and names starting with ``__mix`` are not allowed.
+    source's others, very long texts weigh what they have. An empty table gives an empty result. Columns
+    of ``docs`` that are called ``mix_copy`` or ``mix_key`` are replaced; names starting with ``__mix``
+    are refused.
     """
+    taken = [c for c in docs.columns if c.lower().startswith("__mix")]
+    if taken:
+        raise ConfigurationError(f"columns {taken} have names that start with __mix")
     rates = source_rates(docs, weights, power, total, text_col, source_col)
-    rates = rates.select(F.col("source").alias("__mix_source"), poisson_cdf(F.col("rate")).alias("__mix_cdf"))
-    uniform = md5_bits(F.concat(F.lit(f"{seed}:"), id_text(id_col)), UNIFORM_BITS) / F.lit(float(1 << UNIFORM_BITS))
-    rows = docs.drop("mix_copy", "mix_key").withColumn("__mix_u", uniform)
-    joined = rows.join(rates, F.col(source_col).eqNullSafe(F.col("__mix_source")))
-    count = F.size(F.filter("__mix_cdf", lambda c: c <= F.col("__mix_u")))
+    draws = F.greatest(F.ceil(F.col("rate") / DRAW), F.lit(1)).cast("int")
+    rates = rates.select(F.col("source").alias("__mix_source"), draws.alias("__mix_draws"), poisson_cdf(F.col("rate") / draws).alias("__mix_cdf"))
+    rows = docs.drop("mix_copy", "mix_key")
+    joined = rows.join(rates, F.col(f"`{source_col}`").eqNullSafe(F.col("__mix_source")))
+
+    def drawn(number: Column) -> Column:
+        name = F.concat(F.lit(f"{seed}:"), id_text(id_col), F.when(number == 1, "").otherwise(F.concat(F.lit("#"), number.cast("string"))))
+        uniform = md5_bits(name, UNIFORM_BITS) / F.lit(float(1 << UNIFORM_BITS))
+        return F.size(F.filter("__mix_cdf", lambda c: c <= uniform))
+
+    more = F.aggregate(F.sequence(F.lit(2), F.col("__mix_draws")), F.lit(0), lambda n, i: n + drawn(i))
+    count = drawn(F.lit(1)) + F.when(F.col("__mix_draws") > 1, more).otherwise(0)
     joined = joined.withColumn("__mix_n", count).where("__mix_n > 0")
     copies = joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_n"))))
     key = md5_bits(F.concat(F.lit(f"{seed}:"), id_text(id_col), F.lit(":"), F.col("mix_copy").cast("string")), KEY_BITS)
-    copies = copies.withColumn("mix_key", key).drop("__mix_source", "__mix_cdf", "__mix_u", "__mix_n")
-    return copies.repartition("mix_key").sortWithinPartitions("mix_key")
+    copies = copies.withColumn("mix_key", key).withColumn("__mix_text", F.xxhash64(F.col(f"`{text_col}`")))
+    copies = copies.repartition("mix_key", "__mix_text").sortWithinPartitions("mix_key")  # rows that share an id part by their texts
+    return copies.drop("__mix_source", "__mix_draws", "__mix_cdf", "__mix_n", "__mix_text")

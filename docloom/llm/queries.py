@@ -92,16 +92,20 @@ with sizes as (
 ), rates as (
   select source, case when mass > 0 then weight / (select sum(weight) from weighted) * (select sum(mass) from weighted) / mass
          else 1.0 end as rate from weighted
+), draws as (
+  select source, greatest(ceil(rate / 64), 1)::int as n, rate / greatest(ceil(rate / 64), 1) as mean from rates
 ), steps as (
-  select source, rate, k, sum(case when k = 0 then 0 else ln(rate / k) end) over (partition by source order by k) - rate as logp
-  from (select source, rate, unnest(range(0, (ceil(rate + 12 * sqrt(rate) + 40))::int + 1)) as k from rates where rate > 0)
+  select source, mean, k, sum(case when k = 0 then 0 else ln(mean / k) end) over (partition by source order by k) - mean as logp
+  from (select source, mean, unnest(range(0, (ceil(mean + 12 * sqrt(mean) + 40))::int + 1)) as k from draws where mean > 0)
 ), cdf as (
   select source, k, sum(exp(logp)) over (partition by source order by k) as c from steps
+), numbered as (
+  select row_number() over () as r, d.*, unnest(range(1, w.n + 1)) as i from documents d join draws w on d.source is not distinct from w.source
 ), drawn as (
-  select *, ('0x' || substr(md5('29:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint / 4503599627370496.0 as u from documents
+  select *, ('0x' || substr(md5('29:' || coalesce(doc_id::varchar, '') || case when i = 1 then '' else '#' || i end), 1, 13))::bigint / 4503599627370496.0 as u from numbered
 ), counted as (
   select d.doc_id, d.text, d.lang, d.source, d.n_chars, count(c.k) as n
-  from (select row_number() over () as r, * from drawn) d left join cdf c on d.source is not distinct from c.source and c.c <= d.u
+  from drawn d left join cdf c on d.source is not distinct from c.source and c.c <= d.u
   group by d.r, d.doc_id, d.text, d.lang, d.source, d.n_chars
 ), copies as (
   select doc_id, text, lang, source, n_chars, unnest(range(1, n + 1))::int as mix_copy from counted
