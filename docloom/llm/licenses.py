@@ -1,21 +1,24 @@
 """Licence scan: positional rare-token index over licence templates.
 
-A pass over all documents counts how many hold each word of the templates. Words that stand in at most
-``RARE_SHARE`` of the documents, so have a high inverse document frequency, are rare, and so are the
-rarest words of each key phrase in its templates, however many documents hold them. For each file its
-rare licence words are looked up in the index of template postings; every posting proposes the place
-where the template would begin (position in file less position in template). Places that several words
-agree on are verified: enough of the template's words stand where they should, and its mandatory key
-phrases are there in full.
+A pass over all documents counts how many hold each word of the templates. Each template is indexed by
+its ``RAREST`` words of highest inverse document frequency and by the rarest words of each key phrase,
+however many documents hold them. For each file its indexed words are looked up; every posting proposes
+the place where the template would begin (position in file less position in template). Places that
+several words agree on are verified, ``DRIFT`` words to both sides: enough of the template's words stand
+where they should, and so do its mandatory key phrases, in full.
+
+A template that a file holds is always proposed, since its key phrases are there and indexed: what a
+file is found to hold does not depend on the other files.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,13 +58,15 @@ TEMPLATES = (
     ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", ("without any express or implied warranty", "held liable")),
 )
 
-#: A licence word is rare if at most this share of the documents holds it.
-RARE_SHARE = 0.2
-#: Words of each key phrase that are indexed in its templates even if they are not rare.
+#: Words of highest inverse document frequency that each template is indexed by.
+RAREST = 4
+#: Words of each key phrase that its templates are indexed by.
 ALWAYS = 2
 #: Share of a template's words that must stand in place, within DRIFT words.
 COVERAGE = 0.8
 DRIFT = 2
+#: Words of a file after which the proposals behind are decided.
+WINDOW = 4096
 
 #: A-Z to a-z, ASCII that is neither letter nor digit to spaces; bytes of other characters stay.
 _WORDS = bytes(
@@ -73,69 +78,95 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_WORDS).split()
 
 
+@dataclass(frozen=True)
+class Template:
+    label: str
+    words: tuple[bytes, ...]
+    keys: tuple[tuple[bytes, ...], ...]
+    #: Where each key phrase stands in the template.
+    places: tuple[tuple[int, ...], ...]
+
+    @classmethod
+    def of(cls, label: str, text: str, phrases: tuple[str, ...]) -> Template:
+        words, keys = tuple(text.encode().split()), tuple(tuple(k.encode().split()) for k in phrases)
+        places = tuple(tuple(p for p in range(len(words)) if words[p : p + len(k)] == k) for k in keys)
+        if not words or not all(places):
+            raise ValueError(f"template {text!r} is empty or does not hold its key phrases {phrases}")
+        return cls(label, words, keys, places)
+
+    def coverage(self, words: list[bytes], at: int) -> float:
+        """Share of the template's words that stand in place if it begins at ``at``; 0 without the key phrases."""
+        for key, places in zip(self.keys, self.places, strict=True):
+            near = (i for p in places for i in range(max(0, at + p - DRIFT), at + p + DRIFT + 1))
+            if not any(tuple(words[i : i + len(key)]) == key for i in near):
+                return 0.0
+        hit = sum(w in words[max(0, at + p - DRIFT) : max(0, at + p + DRIFT + 1)] for p, w in enumerate(self.words))
+        return hit / len(self.words)
+
+
 @dataclass(frozen=True)
 class Index:
-    """Templates as words, postings of the indexed words, their inverse document frequencies and their number by template."""
+    """Templates, postings (template, position) of the indexed words, and how many must agree by template."""
 
-    templates: tuple[tuple[str, tuple[bytes, ...], tuple[bytes, ...]], ...]
-    postings: dict[bytes, list[tuple[int, int]]]
-    idf: dict[bytes, float]
-    indexed: tuple[int, ...]
+    templates: tuple[Template, ...]
+    postings: dict[bytes, tuple[tuple[int, int], ...]]
+    agree: tuple[int, ...]
 
     @classmethod
     def build(cls, counts: dict[bytes, int], n_docs: int, templates=TEMPLATES) -> Index:
-        split = tuple((label, tuple(text.encode().split()), tuple(k.encode() for k in keys)) for label, text, keys in templates)
-        postings = defaultdict(list)
-        rare = {w for _, words, _ in split for w in words if counts.get(w, 0) <= RARE_SHARE * n_docs}
-        for t, (_, words, keys) in enumerate(split):
-            sure = {w for k in keys for w in sorted(set(k.split()), key=lambda w: (counts.get(w, 0), w))[:ALWAYS]}
-            for p, w in enumerate(words):
-                if w in rare or w in sure:
+        split, postings, agree = tuple(Template.of(*t) for t in templates), defaultdict(list), []
+        idf = {w: math.log((1 + n_docs) / (1 + counts.get(w, 0))) for t in split for w in t.words}
+
+        def rarest(words: Iterable[bytes], n: int) -> set[bytes]:
+            return set(sorted(set(words), key=lambda w: (-idf[w], w))[:n])
+
+        for t, template in enumerate(split):
+            sure = [rarest(k, ALWAYS) for k in template.keys]
+            chosen = rarest(template.words, RAREST).union(*sure)
+            agree.append(min(2, *map(len, sure), len(chosen)))
+            for p, w in enumerate(template.words):
+                if w in chosen:
                     postings[w].append((t, p))
-        idf = {w: math.log((1 + n_docs) / (1 + counts.get(w, 0))) for w in postings}
-        indexed = Counter(t for places in postings.values() for t, _ in places)
-        return cls(split, dict(postings), idf, tuple(indexed[t] for t in range(len(split))))
+        return cls(split, {w: tuple(places) for w, places in postings.items()}, tuple(agree))
 
     def find(self, words: list[bytes]) -> list[tuple[int, int, float]]:
-        """(template, start, coverage) of each verified place."""
-        places = defaultdict(list)
-        for i, w in enumerate(words):
-            if w in self.postings:
-                places[w].append(i)
-        chosen = sorted(places, key=lambda w: (-self.idf[w], w))
+        """(template, start, coverage) of each verified place, the best start of those within DRIFT of a proposal."""
+        longest = max((len(t.words) for t in self.templates), default=0)
         votes: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for w in chosen:
-            for t, p in self.postings[w]:
-                for i in places[w]:
-                    votes[t, i - p].add(p)
-        found = []
-        for (t, at), agreed in votes.items():
-            size = len(self.templates[t][1])
-            if len(agreed) >= min(2, self.indexed[t]) and (cover := self._verify(words, t, at)) >= COVERAGE:
-                found.append((t, max(at, 0), cover, size))
-        return [(t, at, cover) for t, at, cover, _ in sorted(found)]
-
-    def _verify(self, words: list[bytes], t: int, at: int) -> float:
-        _, want, keys = self.templates[t]
-        low = max(0, at - DRIFT)
-        near = words[low : max(0, at + len(want) + DRIFT)]
-        joined = b" " + b" ".join(near) + b" "
-        if any(b" " + k + b" " not in joined for k in keys):
-            return 0.0
-        hit = sum(w in words[max(0, at + p - DRIFT) : max(0, at + p + DRIFT + 1)] for p, w in enumerate(want))
-        return hit / len(want)
+        found: dict[tuple[int, int], float] = {}
+
+        def decide(before: int) -> None:
+            for t, at in [place for place in votes if place[1] < before]:
+                if len(votes.pop((t, at))) >= self.agree[t]:
+                    template = self.templates[t]
+                    cover, off, start = max((template.coverage(words, k), -abs(k - at), k) for k in range(at - DRIFT, at + DRIFT + 1))
+                    if cover >= COVERAGE:
+                        found[t, max(start, 0)] = cover
+
+        decided = 0
+        for i, w in enumerate(words):
+            for t, p in self.postings.get(w, ()):
+                votes[t, i - p].add(p)
+            if i - decided >= WINDOW:
+                decide(i - longest)
+                decided = i
+        decide(len(words) + 1)
+        return [(t, at, cover) for (t, at), cover in sorted(found.items())]
 
 
 def base_places(words: list[bytes]) -> tuple[list[int], set[str]]:
     """Sorted starts, one for each place, of the contract's phrases, and their labels."""
     joined = b" " + b" ".join(words) + b" "
-    starts, labels = [], set()
+    found, labels = [], set()
     for phrase, label in BASE_PHRASES.items():
         want, at = b" " + phrase.encode() + b" ", -1
         while (at := joined.find(want, at + 1)) >= 0:
-            starts.append(joined.count(b" ", 0, at + 1) - 1)
+            found.append(at)
             labels.add(label)
-    return sorted(starts), labels
+    if not found:
+        return [], labels
+    begins = np.cumsum([0, *(len(w) + 1 for w in words)])
+    return np.searchsorted(begins, np.sort(found)).tolist(), labels
 
 
 def document_counts(docs: DataFrame, templates=TEMPLATES, text_col: str = "text") -> tuple[dict[bytes, int], int]:
@@ -160,8 +191,8 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id",
 
     ``spans`` lists the verified template places as ``label:first word:words``. ``score`` is 1 with a
     phrase of the contract, else the best coverage of a verified template, else 0. Null and empty texts
-    have no words and empty labels. Repeated rows each give a row, an empty table none; other columns of
-    ``docs`` are not looked at.
+    have no words and empty labels; very long texts are searched a window at a time. Repeated rows each
+    give a row, an empty table none; other columns of ``docs`` are not looked at.
     """
     index = Index.build(*document_counts(docs, templates, text_col), templates=templates)
 
@@ -169,9 +200,9 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id",
         words = words_of((text or "").encode())
         starts, base = base_places(words)
         found = index.find(words)
-        labels = base | {index.templates[t][0] for t, _, _ in found}
+        labels = base | {index.templates[t].label for t, _, _ in found}
         score = 1.0 if starts else max((c for _, _, c in found), default=0.0)
-        spans = [f"{index.templates[t][0]}:{at}:{len(index.templates[t][1])}" for t, at, _ in found]
+        spans = [f"{index.templates[t].label}:{at}:{len(index.templates[t].words)}" for t, at, _ in found]
         ends = (starts[0], starts[-1]) if starts else (None, None)
         return len(words), len(starts), *ends, ",".join(sorted(base)), ",".join(sorted(labels)), score, spans
 
