@@ -2,18 +2,58 @@
 
 from __future__ import annotations
 
+import gc
+from collections.abc import Callable
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import scratch_path
+from ..scratch import remove_path, scratch_path
+
+#: Bytes of an Arrow batch that goes to Python while a table is made. Rows with long values come a few at a time.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_PATH = "_docloom_path"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written once to the shared scratch folder and read back: lineage ends at replicated files."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before) if before is not None else spark.conf.unset(_BATCH)
+    out = spark.read.schema(df.schema).parquet(path)
+    setattr(out, _PATH, path)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables made by ``materialize`` that nothing will read again, not even to repeat a lost task."""
+    for t in tables:
+        remove_path(t.sparkSession, getattr(t, _PATH))
+
+
+_RESIDENT: dict[Any, Any] = {}
+
+
+def resident(key: Any = None, make: Callable[[], Any] | None = None) -> Any:
+    """The large object of a Python worker, one at a time: workers outlive stages, and what an earlier one left must go.
+
+    To be called as a task begins, without a key where it needs none. Freed memory goes back to the system.
+    """
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        gc.collect()
+        if make:
+            _RESIDENT[key] = make()
+    pa.default_memory_pool().release_unused()
+    return _RESIDENT.get(key)
 
 
 def md5_bits(text: Column, bits: int) -> Column:
@@ -66,8 +106,9 @@ def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame
         large = materialize(large, tag)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("m").alias("v"), F.col("v").alias("u"))
-        small = small.unionByName(least.select(F.col("m").alias("v"), "u")).distinct()
-        edges = materialize(small, tag)
+        small = materialize(small.unionByName(least.select(F.col("m").alias("v"), "u")).distinct(), tag)
+        discard(edges, large)
+        edges = small
         before, seen = seen, _state(edges)
         if before == seen:
             break
