@@ -13,10 +13,8 @@ The folder ``_order`` in it holds the ids by rank, a row per ``RANKS`` ids; Spar
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +24,13 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ..scratch import scratch_path
-from .bpe import Remembered, WordMemo, slices
-from .common import prefix_offsets
+from .bpe import Words, encoded
+from .common import prefix_offsets, resident
 
 MAGIC, VERSION = 0x54464C44, 1
 HEADER = np.dtype([(n, "<u4") for n in ("magic", "version", "documents", "ids", "control", "data")])
-#: Pieces of text and words that a Python worker remembers at most: asking the library again costs more than memory.
-PIECES, WORDS = 1_300_000, 600_000
+#: Words that a Python worker remembers at most: asking the library again costs more than memory.
+WORDS = 500_000
 #: Ids that a segment holds at least, unless the partition ends.
 SEGMENT_IDS = 1 << 20
 #: Ids in a row of the table of ranks.
@@ -71,9 +69,8 @@ def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
 class LibraryEncoder:
     """New words in bulk through the tokenizers library.
 
-    A word of Latin letters, lower-cased, and the ASCII marks after it are pre-tokens of their own, so
-    each is asked for once. Letter words go to the library joined by spaces; each ends at
-    a token with the word-end suffix.
+    Lower-case words of Latin letters go to the library joined by spaces; each ends at a token with the
+    word-end suffix. What else there is goes to it one by one.
     """
 
     def __init__(self, path: str):
@@ -85,17 +82,9 @@ class LibraryEncoder:
         self.dtype, self.size = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4"), size
         self.ends = np.zeros(size, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.known = Remembered(WORDS)
-        marks = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
-        added = "".join(t.content[:1] for t in self.tokenizer.get_added_tokens_decoder().values())
-        marks = "".join(c for c in marks if c not in added)  # an added token among the marks would be split
-        self.simple = re.compile(f"([A-Za-zÀ-ÖØ-öø-ÿ]+)([{re.escape(marks)}]*)").fullmatch
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def _parts(self, word: str) -> tuple[str, str]:
-        m = self.simple(word)
-        return (m[1].lower(), m[2]) if m else (word, "")
-
-    def _ask(self, parts: list[str]) -> list[bytes]:
+    def find(self, parts: list[str]) -> list[bytes]:
         out: dict[str, bytes] = {}
         letters, rest = [p for p in parts if p.isalpha()], [p for p in parts if not p.isalpha()]
         groups = [letters[i : i + 500] for i in range(0, len(letters), 500)]
@@ -111,32 +100,37 @@ class LibraryEncoder:
             out[part] = np.array(got.ids, self.dtype).tobytes()
         return [out[p] for p in parts]
 
-    def __call__(self, words: list[str]) -> list[bytes]:
-        parts = [self._parts(w) for w in words]
-        used = {a for a, _ in parts} | {b for _, b in parts}
-        self.known.learn(used - self.known.young.keys(), lambda: used, self._ask)
-        known = self.known.young
-        return [known[a] + known[b] for a, b in parts]
 
+def library(path: str) -> tuple[LibraryEncoder, Words]:
+    """One tokenizer and memory of words per Python worker."""
+
+    def make() -> tuple[LibraryEncoder, Words]:
+        encoder = LibraryEncoder(path)
+        return encoder, Words(encoder.find, encoder.added, WORDS)
+
+    return resident(("library", path), make)
 
-@lru_cache(maxsize=2)
-def library(path: str) -> tuple[LibraryEncoder, WordMemo]:
-    encoder = LibraryEncoder(path)
-    return encoder, WordMemo(encoder, PIECES)
+
+def binary_rows(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Parts of one array, which end at ``ends``, as binary values."""
+    offsets = np.concatenate([[0], ends * values.itemsize]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids`` (binary, little-endian, 16-bit where the vocabulary allows) with ``end_id`` after each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, memo = library(path)
-        end = np.array([end_id], encoder.dtype).tobytes()
+        encoder, words = library(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            raw = [r + end for a, b in slices([len(t) for t in texts]) for r in memo.texts(texts[a:b])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["doc_id", "ids"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+            at = 0
+            for ids, ends in encoded(batch.column(1), words, encoder.dtype):
+                names = batch.column(0).slice(at, len(ends))
+                ids = np.insert(ids, ends, end_id)
+                yield pa.RecordBatch.from_arrays([names, binary_rows(ids, ends + np.arange(1, len(ends) + 1))], ["doc_id", "ids"])
+                at += len(ends)
+
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids binary")
 
 
@@ -151,6 +145,7 @@ def id_order(tokens: DataFrame, dtype: str, size: int) -> np.ndarray:
     """All ids by falling count over all documents, ties by id: at most one row per id reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident()  # the memory of words is of no more use
         count = np.zeros(size, np.int64)
         for batch in batches:
             ids = flat(batch.column(0), dtype)
@@ -183,6 +178,7 @@ def write_segments(tokens: DataFrame, path: str, dtype: str, order: np.ndarray)
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident()
         seq, held, names, ids = 0, 0, [], []
         for batch in batches:
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -195,7 +191,8 @@ def write_segments(tokens: DataFrame, path: str, dtype: str, order: np.ndarray)
         if names:
             yield segment(seq, names, ids)
 
-    ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    keyed = tokens.withColumn("tie", F.xxhash64("ids"))  # rows that share an id part by their ids
+    ordered = keyed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "ids").drop("tie")
     ordered.mapInArrow(run, SEGMENTS).write.option("compression", "zstd").parquet(path)
     table = [(k, bytearray(order[k : k + RANKS].astype("<u4").tobytes())) for k in range(0, len(order), RANKS)]
     tokens.sparkSession.createDataFrame(table, "first long, ids binary").coalesce(1).write.parquet(f"{path}/_order")
@@ -246,11 +243,11 @@ def token_files(
     """Encodes, writes to ``out`` (a scratch folder if none is given) and reads back: see ``read_segments``.
 
     Null and empty texts have the end id alone. Rows that share an id follow each other in the order
-    of their ids; null ids come first. An empty table writes no segment and gives an empty result.
-    Other columns of ``docs`` are not looked at.
+    of a hash of their ids; null ids come first. A very long text is encoded whole, and a segment holds at least one
+    document. An empty table writes no segment and gives an empty result. Other columns of ``docs`` are not looked at.
     """
     spark = docs.sparkSession
-    encoder, _ = library(path)
+    encoder = LibraryEncoder(path)
     out = out or scratch_path(spark, "token-files")
     raw = scratch_path(spark, "token-ids")
     tokens = tokenize(docs, path, end_id, id_col, text_col)
