@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, materialize
 from .simhash import forest
-from .vectors import binary, by_group, distinct_ids, group_starts, matrix, valid
+from .vectors import binary, by_group, group_starts, matrix, valid, vector_rows
 
 #: Members of a chunk; a block has at most about twice as many.
 CHUNK = 2048
@@ -115,9 +115,10 @@ def _directions(dim: int, tables: int, seed: int) -> np.ndarray:
 
 
 def parameters(n: int) -> dict:
-    """Scale, tables and probes for n vectors: smaller cells for more vectors, more tables to make up for them.
+    """Scale, tables and probes that suit n vectors: smaller cells for more vectors, more tables to make up for them.
 
-    A pair at cosine 0.95 is missed by all tables with a probability of about 0.0001 (measured on random directions of 8 to 64 numbers).
+    All miss a pair at cosine 0.95 in all tables with a probability of about 0.0001 (measured on random
+    directions of 8 to 64 numbers); they differ in the work alone. ``near_vectors`` takes what it is given.
     """
     if n <= 200_000:
         return {"scale": 5.0, "tables": 5, "probes": 4}
@@ -126,6 +127,10 @@ def parameters(n: int) -> dict:
     return {"scale": 10.0, "tables": 12, "probes": 16}
 
 
+#: Settings that ``near_vectors`` takes if none are given, whatever the table's size.
+SETTINGS = parameters(0)
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     rows = rows / np.abs(rows).max(axis=1, keepdims=True)
     return rows / np.sqrt((rows * rows).sum(1, keepdims=True))
@@ -222,18 +227,21 @@ def _links(settings: dict, threshold: float):
 def near_vectors(
     vectors: DataFrame, threshold: float = 0.95, settings: dict | None = None, id_col: str = "vec_id", vector_col: str = "embedding", chunk: int = CHUNK
 ) -> DataFrame:
-    """One row per id: ``vec_id, n_links, component_id, kept``.
-
-    ``n_links`` counts the other ids within the threshold, ``component_id`` is the smallest id reachable
-    over links, itself included, and ``kept`` tells whether that is the id itself. Vectors that are null,
-    zero or hold null or non-finite components link with nothing; vectors of different lengths do not
-    link. Rows with a null id are left out; an id with several vectors has the smallest. An empty table
-    gives an empty result. Other columns are not looked at.
+    """One row per vector: ``vec_id, n_links, component_id, kept``.
+
+    ``n_links`` counts the other vectors within the threshold, ``component_id`` is the smallest id
+    reachable over links, itself included, and ``kept`` tells whether that is the id itself. Vectors that
+    are null, zero or hold null or non-finite components link with nothing; vectors of different lengths
+    do not link. Rows with a null id are left out; rows that repeat id and vector are one; an id with
+    several vectors has a row for each, and all their links connect it. An empty table gives an empty
+    result. Other columns are not looked at. ``settings`` are those of ``parameters``.
     """
-    rows = materialize(distinct_ids(vectors, id_col, vector_col), "lattice-vectors")
-    members = rows.where(valid()).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    settings = settings or SETTINGS
+    sides = {f"h{k}": F.xxhash64(F.lit(k), "embedding") for k in (1, 2)}  # 128 bits stand for the vector where it is a key
+    rows = vector_rows(vectors, id_col, vector_col).withColumns(sides | {"fine": valid()}).dropDuplicates(["vec_id", *sides])
+    rows = materialize(rows, "lattice-vectors")
+    members = rows.where("fine").groupBy(*sides).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
     members = materialize(members.withColumn("dim", F.size("embedding")), "lattice-members")
-    settings = settings or parameters(members.count())
     schema = "key long, rep long"
     wide = members.mapInArrow(_cells(settings, False), schema).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > chunk)
     wide = materialize(wide.select(F.col("key").alias("__key"), F.ceil(F.col("n") / chunk).cast("int").alias("chunks")), "lattice-wide")
@@ -247,11 +255,13 @@ def near_vectors(
     cells = cells.repartition("key", "block").sortWithinPartitions("key", "block", "rep")
     found = materialize(cells.mapInArrow(_links(settings, threshold), "id long, links long, other long"), "lattice-links")
     counts = found.where("links is not null").groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
-    parts = connected_components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")), "lattice-edges")
-    named = members.join(counts, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")
-    named = named.select(
-        F.col("embedding").alias("__embedding"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component")
-    )
-    out = rows.join(named, valid() & (F.col("embedding") == F.col("__embedding")), "left")
+    links = found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    ids = rows.where("fine").select("vec_id", *sides)
+    several = ids.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select("vec_id")
+    several = ids.join(several, "vec_id").join(members.select(*sides, "rep"), [*sides]).select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))
+    parts = connected_components(links.unionByName(several), "lattice-edges")
+    named = members.select("rep", "copies", *sides).join(counts, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")
+    named = named.select(*sides, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"), F.lit(True).alias("fine"))
+    out = rows.select("vec_id", "fine", *sides).join(named, ["fine", *sides], "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))

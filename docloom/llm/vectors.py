@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 GATHER = 32_768
 
 
-def distinct_ids(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``vec_id, embedding`` with one row per non-null id; an id with several vectors has the smallest that is not null."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
-    return rows.where("vec_id is not null").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+def vector_rows(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """``vec_id, embedding`` of the rows with an id, in double precision."""
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("embedding"))
+    return rows.where("vec_id is not null")
 
 
 def valid(embedding: str = "embedding"):

@@ -105,7 +105,53 @@ def test_ivfpq(frame, monkeypatch, small):
         want = np.lexsort((np.arange(len(V)), -np.where(np.arange(len(V)) == q, -np.inf, scores[q])))[:20]
         hit, total = hit + len(set(want) & {r.vec_id for r in mine}), total + 20
     assert hit / total >= 0.9
-    assert {r.query_id for r in got} == set(range(0, len(V), 20))
+    assert {r.query_id for r in got} == set(range(0, len(V), 20)) | {7000}
+    assert [(r.vec_id, r.score) for r in got if r.query_id == 7000] == [(7001, 10.0)]  # a length of its own
+
+
+def test_ivfpq_lengths_and_large_values(spark):
+    """Each length is searched by itself, whichever comes first; values whose products overflow are still found."""
+    rng = np.random.default_rng(8)
+    short, wide = rng.standard_normal((59, 3)), rng.standard_normal((80, 24)) * 1e200
+    rows_ = [(0, [1.0, 2.0, 3.0, 4.0])] + [(i + 1, v.tolist()) for i, v in enumerate(wide)] + [(100 + i, v.tolist()) for i, v in enumerate(short)]
+    got = ivfpq.nearest_neighbours(spark.createDataFrame(rows_, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 5).collect()
+    assert {r.query_id for r in got} == {20, 40, 60, 80, 100, 120, 140}
+    unit = wide / 1e200
+    hit = 0
+    for q in (20, 40, 60, 80):
+        mine = [r for r in got if r.query_id == q]
+        assert len(mine) == 5 and all(1 <= r.vec_id <= 80 and r.score == float("inf") for r in mine)
+        best = np.argsort(-(unit @ unit[q - 1]))
+        hit += len({r.vec_id - 1 for r in mine} & set([b for b in best if b != q - 1][:5]))
+    assert hit >= 18
+    mine = [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == 120]
+    assert mine == [100 + i for i in np.argsort(-(short @ short[20])) if i != 20][:5]
+
+
+@pytest.mark.parametrize("k", [3, 60])
+def test_ivfpq_depth_follows_k(frame, k):
+    got = ivfpq.nearest_neighbours(frame, F.col("vec_id") % 100 == 0, k).collect()
+    scores, hit, total = V @ V.T, 0, 0
+    for q in range(0, len(V), 100):
+        want = [j for j in np.lexsort((np.arange(len(V)), -scores[q])) if j != q][:k]
+        hit, total = hit + len(set(want) & {r.vec_id for r in got if r.query_id == q}), total + k
+    assert hit / total >= 0.9
+
+
+def test_an_id_with_several_vectors(spark):
+    rows_ = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [0.0, 2.0]), (4, None), (4, [-1.0, 0.0])]
+    got = sorted(map(tuple, lattice.near_vectors(spark.createDataFrame(rows_, "vec_id long, embedding array<double>")).collect()))
+    assert got == [(1, 1, 1, True), (2, 1, 1, False), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True), (4, 0, 4, True)]
+    found = ivfpq.nearest_neighbours(spark.createDataFrame(rows_, "vec_id long, embedding array<double>"), F.col("vec_id") == 4, 2).collect()
+    assert [(r.vec_id, r.rank) for r in found] == [(2, 1), (3, 2)]
+
+
+@pytest.mark.parametrize("n", [1_000_000, 100_000_000])
+def test_lattice_with_other_settings(frame, n):
+    got = {r.vec_id: r for r in lattice.near_vectors(frame, settings=lattice.parameters(n)).collect()}
+    links, _ = brute()
+    mine = np.array([got[i].n_links for i in range(len(V))])
+    assert (mine <= links).all() and mine.sum() >= 0.995 * links.sum()
 
 
 def test_few_candidates(spark):
