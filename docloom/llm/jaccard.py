@@ -7,8 +7,9 @@ similar pair is lost. Candidates whose parities, a bit a number, already differ
 similar sets may are dropped; each of the others is decided by its whole sets.
 
 Order and skew: numbers that many sets hold come last. How many hold them is estimated in a table of
-fixed width, which changes the work but not the pairs. First each row meets its neighbours by size in
-its group; then only rows of different components still meet, in blocks of bounded size.
+fixed width, which changes the work but not the pairs. Links that are known beforehand, such as those
+of fingerprints, spare their components. Then each row meets its neighbours by size in its group; then
+only rows of different components still meet, in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, materialize, resident
 from .vectors import by_group, group_starts
 
 #: Members of a chunk; a block has at most about twice as many.
@@ -53,7 +54,7 @@ def common_levels(sets: DataFrame) -> np.ndarray:
         count = np.zeros(1 << TABLE_BITS, np.int64)
         for batch in batches:
             for start in range(0, len(batch), 256):
-                flat = numbers(b"".join(batch.column(0).slice(start, 256).to_pylist()))
+                flat = np.concatenate([numbers(r.as_buffer()) for r in batch.column(0).slice(start, 256)])
                 count += np.bincount((flat >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=len(count))
         used = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(count[used])], ["place", "n"])
@@ -67,15 +68,16 @@ def common_levels(sets: DataFrame) -> np.ndarray:
 
 
 def prefixes(sets: DataFrame, levels: np.ndarray) -> DataFrame:
-    """``key, row, n, pos, common``: the numbers of each set's prefix with the set's size and their place in it."""
+    """``key, row, part, n, pos, common``: the numbers of the prefix of each of ``sets(row, part, hashes)`` with the set's size and their place in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident()
         for batch in batches:
-            names = np.asarray(batch.column(0))
+            names, parts = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             for start in range(0, len(batch), 256):
                 keys, sizes = [], []
-                for raw in batch.column(1).slice(start, 256).to_pylist():
-                    own = numbers(raw)
+                for raw in batch.column(2).slice(start, 256):
+                    own = numbers(raw.as_buffer())
                     level = levels[(own >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
                     take = len(own) - (4 * len(own) + 4) // 5 + 1 if len(own) else 0
                     keys.append(own[np.argsort(level, kind="stable")[:take]])
@@ -84,18 +86,17 @@ def prefixes(sets: DataFrame, levels: np.ndarray) -> DataFrame:
                 flat = np.concatenate(keys)
                 pos = np.arange(len(flat)) - np.repeat(np.cumsum(takes) - takes, takes)
                 common = levels[(flat >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] > 0
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(flat.view(np.int64)), pa.array(np.repeat(names[start : start + 256], takes)), pa.array(np.repeat(np.array(sizes, np.int32), takes)), pa.array(pos.astype(np.int32)), pa.array(common)],
-                    ["key", "row", "n", "pos", "common"],
-                )
+                arrays = [flat.view(np.int64), *(np.repeat(x[start : start + 256], takes) for x in (names, parts)), np.repeat(np.array(sizes, np.int32), takes), pos.astype(np.int32), common]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["key", "row", "part", "n", "pos", "common"])
 
-    return sets.select("row", "hashes").mapInArrow(run, "key long, row long, n int, pos int, common boolean")
+    return sets.select("row", "part", "hashes").mapInArrow(run, "key long, row long, part long, n int, pos int, common boolean")
 
 
 def _candidates(window: int | None):
     """Distinct pairs of a block that the filters leave, as (a, b); with a window also (key, null) of groups that exceed it."""
 
     def handle(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        resident()
         n, pos, row, side, part = (rows.column(c).to_numpy() for c in ("n", "pos", "row", "side", "part"))
         starts = group_starts(rows, ["key", "block"])
         sizes = np.diff(starts)
@@ -140,13 +141,14 @@ def may_be_similar(x: bytes, n: int, y: bytes, m: int) -> bool:
     return 9 * int(np.bitwise_count(p ^ q).sum()) <= n + m
 
 
-def verified(pairs: DataFrame, sets: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The distinct ``pairs(a, b)`` whose ``sets(row, hashes)`` are similar; only what the parities leave is read."""
+def _ends(pairs: DataFrame, rows: DataFrame, *names: str) -> DataFrame:
+    for end in ("a", "b"):
+        pairs = pairs.join(rows.select(F.col("row").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in names]), end)
+    return pairs.select("a", "b", *[f"{end}_{c}" for end in ("a", "b") for c in names])
 
-    def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in range(2, 6)]
-            yield batch.select(["a", "b"]).filter(pa.array([may_be_similar(*v) for v in zip(*cols, strict=True)], pa.bool_()))
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``pairs(a, b)`` whose ``sets(row, hashes)`` are similar. Only the sets that a pair has are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,15 +156,21 @@ def verified(pairs: DataFrame, sets: DataFrame, sketches: DataFrame) -> DataFram
             fine = [similar(numbers(x[k].as_buffer()), numbers(y[k].as_buffer())) for k in range(len(batch))]
             yield batch.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
-    def ends(pairs: DataFrame, rows: DataFrame, *names: str) -> DataFrame:
-        for end in ("a", "b"):
-            pairs = pairs.join(rows.select(F.col("row").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in names]), end)
-        return pairs.select("a", "b", *[f"{end}_{c}" for end in ("a", "b") for c in names])
-
-    left = materialize(ends(pairs, sketches, "bits", "n").mapInArrow(leave, "a long, b long"), "jaccard-left")
-    used = left.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    used = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
     used = materialize(sets.join(materialize(used, "jaccard-rows"), "row", "left_semi").select("row", "hashes"), "jaccard-used")
-    return materialize(ends(left, used, "hashes").mapInArrow(run, "a long, b long"), "jaccard-links")
+    return materialize(_ends(pairs, used, "hashes").mapInArrow(run, "a long, b long"), "jaccard-links")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The distinct ``pairs(a, b)`` whose ``sets(row, hashes)`` are similar; only what the parities leave is read."""
+
+    def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in range(2, 6)]
+            yield batch.select(["a", "b"]).filter(pa.array([may_be_similar(*v) for v in zip(*cols, strict=True)], pa.bool_()))
+
+    left = materialize(_ends(pairs, sketches, "bits", "n").mapInArrow(leave, "a long, b long"), "jaccard-left")
+    return similar_pairs(left, sets)
 
 
 def sketched(sets: DataFrame) -> DataFrame:
@@ -177,28 +185,31 @@ def sketched(sets: DataFrame) -> DataFrame:
     return sets.select("row", "hashes").mapInArrow(run, "row long, n int, bits binary")
 
 
-def similar_links(sets: DataFrame, copies: DataFrame, chunk: int = CHUNK, window: int = WINDOW) -> DataFrame:
+def similar_links(sets: DataFrame, copies: DataFrame, known: DataFrame, chunk: int = CHUNK, window: int = WINDOW) -> DataFrame:
     """Links (a, b) whose components are those of all similar pairs among the rows that ``copies(row)`` does not list.
 
     ``sets(row, hashes)`` holds each row's sorted distinct numbers (little-endian unsigned 64-bit). The
     rows not listed have different sets; those listed only count for the order of the numbers.
+    ``known(a, b)`` are links of similar pairs that were found already; they come out with the others.
     """
-    rows = materialize(prefixes(sets.join(copies, "row", "left_anti"), common_levels(sets)), "jaccard-prefixes")
+    parts = connected_components(known, "jaccard-known").select(F.col("node").alias("row"), "component")
+    distinct = sets.join(copies, "row", "left_anti").join(parts, "row", "left")
+    rows = materialize(prefixes(distinct.select("row", F.coalesce("component", "row").alias("part"), "hashes"), common_levels(sets)), "jaccard-prefixes")
     sketches = materialize(sketched(sets), "jaccard-sketches")
     wide = rows.where("common").groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > chunk)
     wide = materialize(wide.select(F.col("key").alias("__key"), F.ceil(F.col("members") / chunk).cast("int").alias("chunks")), "jaccard-wide")
     mine = F.coalesce(F.pmod(F.xxhash64("row"), F.col("chunks").cast("long")).cast("int"), F.lit(0))
     cut = rows.join(wide, F.col("key") == F.col("__key"), "left").withColumn("mine", mine)
-    first = cut.withColumns({"block": F.col("mine").cast("long"), "side": F.lit(2), "part": F.col("row")})
+    first = cut.withColumns({"block": F.col("mine").cast("long"), "side": F.lit(2)})
     met = materialize(_meet(first, window), "jaccard-met")
     tried = materialize(met.where("b is not null").distinct(), "jaccard-pairs")
-    links = verified(tried, sets, sketches)
+    links = known.unionByName(verified(tried, sets, sketches))
     more = met.where("b is null").select("a").unionByName(wide.select(F.col("__key").alias("a"))).distinct()
     more = materialize(more, "jaccard-more")
     if more.isEmpty():
         return links
     parts = connected_components(links, "jaccard-parts")
-    rest = cut.join(more, F.col("key") == F.col("a"), "left_semi").join(parts, F.col("row") == F.col("node"), "left")
+    rest = cut.drop("part").join(more, F.col("key") == F.col("a"), "left_semi").join(parts, F.col("row") == F.col("node"), "left")
     rest = materialize(rest.select("key", "row", "n", "pos", "mine", "chunks", F.coalesce("component", "row").alias("part")), "jaccard-rest")
     mixed = rest.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
     rest = rest.join(mixed, "key", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))

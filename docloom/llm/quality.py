@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, md5_bits
 
 FOURIER = 192
 BINS = 1024
 RIDGE = 1e-3
 #: Tasks of the second stage of the sums, and so rows that reach the driver.
 SUMMERS = 8
+#: Labelled documents that ``labelled_statistics`` takes at most.
+MAX_LABELLED = 100_000
 
 # Character classes by byte.
 _CLASSES = {
@@ -201,21 +203,32 @@ def score_statistics(stats: DataFrame, model: Model) -> DataFrame:
 def score_quality(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score`` for each input row, from a model trained on the labelled rows that meet ``train``.
 
-    Null and empty texts are scored as a row of zero statistics; repeated rows each give a row, an empty
-    table none; other columns of ``docs`` are not looked at.
+    Null and empty texts are scored as a row of zero statistics, very long ones by their whole text;
+    repeated rows each give a row, an empty table none; other columns of ``docs`` are not looked at.
     """
     stats = materialize(document_statistics(docs, id_col, text_col), "quality-stats")
     return score_statistics(stats, train_model(stats, labels, train))
 
 
+def labelled_statistics(docs: DataFrame, labels: DataFrame, train: Column, most: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, stats`` of at most ``most`` labelled documents that meet ``train``, those with the smallest hashes of their ids."""
+    known = labels.where(train & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id")).distinct()
+    picked = known.orderBy(md5_bits(F.col("__id").cast("string"), 60), "__id").limit(most)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    rows = rows.join(F.broadcast(materialize(picked, "quality-sample")), F.col("doc_id") == F.col("__id"))
+    return materialize(document_statistics(rows), "quality-stats")
+
+
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text scores ``threshold`` or more, with all their columns and no shuffle."""
+    """The rows of ``docs`` whose text scores ``threshold`` or more, with all their columns and no shuffle.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col))
-            stats = [statistics(t.as_py()).astype("<f4") for t in texts]
-            scores = model.scores(np.array(stats, float).reshape(len(batch), N_STATS))
-            yield batch.filter(pa.array(scores >= threshold))
+    Null and empty texts are scored as a row of zero statistics; repeated rows stay repeated; an empty
+    table stays empty. Only texts go to Python, and of them only scores come back.
+    """
+
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        stats = np.array([statistics(t.as_py()).astype("<f4") for t in texts], float).reshape(len(texts), N_STATS)
+        return pa.array(model.scores(stats), pa.float64())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(score(F.col(f"`{text_col}`")) >= threshold)

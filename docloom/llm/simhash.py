@@ -24,12 +24,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
-from .jaccard import similar_links
+from .bpe import slices
+from .common import connected_components, materialize, resident
+from .jaccard import similar_links, similar_pairs
 
 BITS = 64
 #: Members of a chunk; a block has at most about twice as many.
@@ -63,14 +65,18 @@ def shingle_hashes(text: bytes, width: int, seed: int = 42) -> list[int]:
 
 def fingerprints(texts: list[bytes | None], width: int) -> np.ndarray:
     """The fingerprints of the texts as unsigned 64-bit integers; zero for a text without words."""
-    out = np.zeros(len(texts), np.uint64)
-    hashes = [shingle_hashes(t or b"", width) for t in texts]
+    return prints_of([np.array(shingle_hashes(t or b"", width), "<u8") for t in texts])
+
+
+def prints_of(hashes: list[np.ndarray]) -> np.ndarray:
+    """The fingerprints of texts whose shingles have these hashes, repeats included."""
+    out = np.zeros(len(hashes), np.uint64)
     sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
     full = np.flatnonzero(sizes)
     if not len(full):
         return out
     sizes = sizes[full]
-    flat = np.fromiter((h for i in full for h in hashes[i]), np.uint64, int(sizes.sum()))
+    flat = np.concatenate([hashes[i] for i in full])
     starts = np.cumsum(sizes) - sizes
     blocks = -(-sizes // 255)
     owner = np.repeat(np.arange(len(full)), blocks)
@@ -120,36 +126,36 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
-def chain_pairs(fp: np.ndarray, group: np.ndarray, start: np.ndarray, role: np.ndarray, side: np.ndarray, m: int, t: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one group that pass the chain from the group's segment and the Hamming check.
+def chain_forest(fp: np.ndarray, group: np.ndarray, start: np.ndarray, role: np.ndarray, side: np.ndarray, m: int, t: int) -> np.ndarray:
+    """For each row the first row that it is connected with by pairs of one group that pass the chain from the group's segment and the Hamming check.
 
     Rows lie group by group. Role 1 marks rows in their own bucket, 0 rows that probe it; two probing
     rows are no pair. In a block of two chunks (sides 0 and 1) rows of one side are no pair; side 2
-    marks a chunk with itself.
+    marks a chunk with itself. Pairs are folded into the forest as they are found, and rows that it
+    connects already are not compared.
     """
     parts = segments(m)
     shifts, masks = np.array([s for s, _ in parts], np.uint64), np.array([(1 << w) - 1 for _, w in parts], np.uint64)
     budget = [t * (k + 1) // m for k in range(m)]
-    found, live, d = [], np.arange(len(fp)), 0
+    label, live, d = np.arange(len(fp)), np.arange(len(fp)), 0
     while True:
         d += 1
         live = live[live < len(fp) - d]
         live = live[group[live] == group[live + d]]
         if not len(live):
-            break
+            return label
         i, j = live, live + d
-        ok = (role[i] | role[j]) & ((side[i] != side[j]) | (side[i] == 2))
-        i, j = i[ok > 0], j[ok > 0]
+        ok = ((role[i] | role[j]) & ((side[i] != side[j]) | (side[i] == 2))) > 0
+        ok &= label[i] != label[j]
+        i, j = i[ok], j[ok]
         x, seen = fp[i] ^ fp[j], np.zeros(len(i), np.int64)
         for k in range(1, m):  # the first link is equal: it is in the key
             at = (start[i] + k) % m
             seen = seen + np.bitwise_count((x >> shifts[at]) & masks[at])
             keep = seen <= budget[k]
             i, j, x, seen = i[keep], j[keep], x[keep], seen[keep]
-        found.append((i, j))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([p[0] for p in found]), np.concatenate([p[1] for p in found])
+        if len(i):
+            label = forest(len(fp), label[i], label[j])[label]
 
 
 def _block_links(m: int, t: int):
@@ -159,11 +165,9 @@ def _block_links(m: int, t: int):
         col = {n: rows.column(n).to_numpy() for n in rows.column_names}
         new = np.ones(len(rows), bool)
         new[1:] = (col["key"][1:] != col["key"][:-1]) | (col["block"][1:] != col["block"][:-1])
-        i, j = chain_pairs(col["fp"].view(np.uint64), np.cumsum(new), col["start"], col["role"], col["side"], m, t)
-        nodes, at = np.unique(np.concatenate([col["rep"][i], col["rep"][j]]), return_inverse=True)
-        label = forest(len(nodes), at[: len(i)], at[len(i) :])
-        child = np.flatnonzero(label != np.arange(len(nodes)))
-        return pa.RecordBatch.from_arrays([pa.array(nodes[label[child]]), pa.array(nodes[child])], ["a", "b"])
+        label = chain_forest(col["fp"].view(np.uint64), np.cumsum(new), col["start"], col["role"], col["side"], m, t)
+        child = np.flatnonzero(label != np.arange(len(rows)))
+        return pa.RecordBatch.from_arrays([pa.array(col["rep"][label[child]]), pa.array(col["rep"][child])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -261,35 +265,46 @@ def group_near_duplicates(
 
 
 def shingle_sets(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, digest, hashes`` for each row: its distinct shingle hashes in order, 8 bytes each, and their XXH3."""
+    """``doc_id, digest, fp, hashes`` for each row: its distinct shingle hashes in order, 8 bytes each, their XXH3, and its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident()
         for batch in batches:
-            for start in range(0, len(batch), 512):  # sets are larger than texts
-                part = batch.slice(start, 512)
-                texts = part.column(1).cast(pa.binary()).to_pylist()
-                sets = [np.unique(np.array(shingle_hashes(t or b"", width), "<u8")).tobytes() for t in texts]
+            sizes = pc.binary_length(batch.column(1)).fill_null(0).to_pylist()
+            for a, b in slices(sizes, 1 << 20):  # sets are larger than texts
+                part = batch.slice(a, b - a)
+                hashes = [np.array(shingle_hashes(t or b"", width), "<u8") for t in part.column(1).cast(pa.binary()).to_pylist()]
+                fp = prints_of(hashes)
+                sets = [np.unique(h).tobytes() for h in hashes]
                 digests = [xxhash.xxh3_128_digest(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "digest", "hashes"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(fp.view(np.int64)), pa.array(sets, pa.binary())], ["doc_id", "digest", "fp", "hashes"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, digest binary, hashes binary")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, digest binary, fp long, hashes binary")
 
 
-def keep_first(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, width: int = 5, max_bits: int = 7, n_segments: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near duplicates, with all its columns: that with the group's smallest id.
 
     Near duplicates are texts whose shingle sets have a Jaccard similarity of at least 0.8, and groups
-    are their components. Null and blank texts have the empty set, which equals itself. Of rows that share an
+    are their components. Fingerprints within ``max_bits`` propose pairs by pigeonring filtering, and the
+    sets decide; what is similar but further apart in bits is found by the join of ``similar_links``, so
+    no pair is lost. Null and blank texts have the empty set, which equals itself. Of rows that share an
     id one with the smallest text stays, null texts before others. Rows with a null id are in no group
-    and stay. An empty table gives an empty result.
+    and stay. Very long texts are compared whole. An empty table gives an empty result.
     """
-    sets = shingle_sets(docs.where(F.col(id_col).isNotNull()), width, id_col, text_col)
+    rows = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # whatever the columns are called
+    doc, text = (F.col(f"c{docs.columns.index(c)}") for c in (id_col, text_col))
+    sets = shingle_sets(rows.select(doc.alias("doc_id"), text.alias("text")).where("doc_id is not null"), width)
     sets = materialize(sets.withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
-    members = sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"))
+    members = sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.min("fp").alias("fp"))
     members = materialize(members, "shingle-members")
     copies = materialize(sets.select("row").join(members.select("row"), "row", "left_anti"), "shingle-copies")
-    links = similar_links(sets.select("row", "hashes"), copies)
+    prints = materialize(members.groupBy("fp").agg(F.min("row").alias("rep")), "shingle-prints")
+    near = near_links(prints, max_bits, n_segments)
+    same = members.select("fp", F.col("row").alias("b")).join(prints.select("fp", F.col("rep").alias("a")), "fp").where("a != b").select("a", "b")
+    near = materialize(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(same).distinct(), "shingle-near")
+    links = similar_links(sets.select("row", "hashes"), copies, similar_pairs(near, sets.select("row", "hashes")))
     for end in ("a", "b"):
         names = members.select(F.col("row").alias(end), F.col("rep").alias(f"__{end}"))
         links = links.join(names, end).drop(end).withColumnRenamed(f"__{end}", end)
@@ -297,13 +312,12 @@ def keep_first(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col
     named = materialize(named.select("doc_id", "rep"), "shingle-names")
     links = links.unionByName(named.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     parts = connected_components(links, "shingle-links")
-    gone = parts.where("node != component").select(F.col("node").alias("__gone"))
-    kept = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
-    twice = named.groupBy(F.col("doc_id").alias("__twice")).agg(F.count("*").alias("n")).where("n > 1").select("__twice")
+    gone = parts.where("node != component").select("node")
+    kept = rows.join(gone, doc == F.col("node"), "left_anti")
+    twice = named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("twice"))
     twice = materialize(twice, "simhash-twice")
     if twice.isEmpty():
-        return kept
-    same = F.col(id_col) == F.col("__twice")
-    order = F.struct(F.col(text_col).isNotNull(), F.col(text_col))
-    one = kept.join(twice, same, "left_semi").groupBy(F.col(id_col).alias("__id")).agg(F.min_by(F.struct(*docs.columns), order).alias("__row"))
-    return kept.join(twice, same, "left_anti").unionByName(one.select("__row.*"))
+        return kept.toDF(*docs.columns)
+    order = F.struct(text.isNotNull(), text)
+    one = kept.join(twice, doc == F.col("twice"), "left_semi").groupBy(doc.alias("id")).agg(F.min_by(F.struct(*rows.columns), order).alias("row"))
+    return kept.join(twice, doc == F.col("twice"), "left_anti").unionByName(one.select("row.*")).toDF(*docs.columns)

@@ -40,28 +40,6 @@ def plain_toxicity(model, text):
     return 1 / (1 + math.exp(-max(-60, min(60, total))))
 
 
-def plain_groups(docs, width, bits):
-    prints = {}
-    for i, text in docs:
-        words = re.findall(rb"[^\x20\x09-\x0D]+", bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode()))
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words[k : k + width]), 42) for k in range(max(1, len(words) - width + 1))] if words else [], np.uint64)
-        prints[i] = sum(1 << k for k in range(64) if 2 * int((hashes >> np.uint64(k) & np.uint64(1)).sum()) > len(hashes))
-    part = {i: i for i in prints}
-
-    def find(x):
-        while part[x] != x:
-            x = part[x]
-        return x
-
-    ids = sorted(prints)
-    for k, a in enumerate(ids):
-        for b in ids[k + 1 :]:
-            if (prints[a] ^ prints[b]).bit_count() <= bits:
-                x, y = find(a), find(b)
-                part[max(x, y)] = min(x, y)
-    return {i: find(i) for i in ids}
-
-
 def plain_copies(docs, seed=29):
     mass = Counter()
     for r in docs:
@@ -102,7 +80,7 @@ def test_pipeline_against_plain_stages(spark):
     assert sorted(r.doc_id for r in after.collect()) == sorted(kept) and after.columns == docs.columns
 
     docs, rows = spark.createDataFrame([r for r in rows if r.doc_id in kept], docs.schema), [r for r in rows if r.doc_id in kept]
-    groups = plain_groups([(r.doc_id, r.text) for r in rows], 5, 7)
+    groups, _ = plain_similar([(r.doc_id, r.text) for r in rows])
     after = stages["near_dedup"](spark, docs, SF)
     assert sorted(r.doc_id for r in after.collect()) == sorted({*groups.values()}) and after.columns == docs.columns
 
@@ -201,6 +179,22 @@ def test_near_dedup_stage_against_brute_force_similarity(spark):
     assert pairs and sorted(r.doc_id for r in kept.collect()) == sorted({*groups.values()})
 
 
+@pytest.mark.parametrize("bits", [0, 7])
+def test_near_dedup_links_do_not_depend_on_the_fingerprints(spark, bits):
+    """Fingerprints propose pairs, the join finds the rest."""
+    docs = list(enumerate(near_copies(12)))
+    groups, _ = plain_similar(docs)
+    kept = simhash.keep_first(spark.createDataFrame(docs, "doc_id long, text string"), max_bits=bits)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({*groups.values()})
+
+
+def test_near_dedup_keeps_clashing_columns(spark):
+    rows = [(1, "same words here", 5, "x"), (2, "same words here", 6, "y"), (3, "other", 7, "z"), (3, None, 8, "w"), (None, "other", 9, "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node long, `a.b` string").withColumnRenamed("node", "__gone")
+    got = simhash.keep_first(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[3], rows[4]], key=str)
+
+
 def test_near_dedup_keeps_texts_that_only_share_a_fingerprint(spark):
     """A line repeated many times outvotes the rest of a text, which is most of its set of shingles."""
     rng = random.Random(5)

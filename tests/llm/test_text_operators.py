@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -101,6 +102,51 @@ def test_sharding(docs, empty):
     assert {r.shard for r in sharding.shard_documents(docs.limit(3)).collect()} <= set(range(24))
 
 
+def brute_shards(rows_, n_shards=24, seed=17):
+    """(shard, slot) by row, from the ranks as they are defined."""
+    def bits(name, n):
+        return int(hashlib.md5(name.encode()).hexdigest()[: n // 4], 16)
+
+    by_source = {}
+    for k, (i, text, source) in enumerate(rows_):
+        raw = (text or "").encode()
+        size, crc = len(raw) + 8, zlib.crc32(raw)
+        key = bits(f"{seed}:{'' if i is None else i}:{size}:{crc}", 48)
+        by_source.setdefault(source, []).append((key, i, size, crc, k))
+    placed = []
+    for source, members in by_source.items():
+        phase = (bits(f"{seed}:" + ("none" if source is None else f"source:{source}"), 40) + 0.5) / 2.0**40
+        for rank, (_, i, size, crc, k) in enumerate(sorted(members)):
+            placed.append((min((rank + phase) / len(members), 1 - 2.0**-40), source or "", i, size, crc, k))
+    n = len(placed)
+    out = {}
+    for at, row in enumerate(sorted(placed)):
+        shard = at * n_shards // n
+        out[row[-1]] = (shard, at - -(-shard * n // n_shards))
+    return [out[k] for k in range(n)]
+
+
+def test_sharding_against_brute_force(spark):
+    rows_ = [(i, sentence(R.randint(0, 9)), f"one{i}" if i % 2 else ("hot" if i % 10 else "cold")) for i in range(3000)]
+    frame = spark.createDataFrame(rows_, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in sharding.shard_documents(frame).collect()}
+    want = brute_shards(rows_)
+    assert [(got[i].shard, got[i].slot) for i, *_ in rows_] == want
+    hot = Counter(got[i].shard for i, _, source in rows_ if source == "hot")  # beside 1500 sources of one row
+    assert set(hot) == set(range(24)) and max(hot.values()) < 1.5 * min(hot.values())
+
+
+def test_large_rates(spark):
+    frame = spark.createDataFrame([(i, "x" * (1 if i < 40 else 4000), "rare" if i < 40 else "common") for i in range(400)], "doc_id long, text string, source string")
+    rate = {r.source: r.rate for r in mixing.source_rates(frame, {"rare": 1.0, "common": 1.0}).collect()}["rare"]
+    out = mixing.mix_sources(frame, {"rare": 1.0, "common": 1.0}).where("source = 'rare'").groupBy("doc_id").agg(F.count("*").alias("n")).collect()
+    n = np.array([r.n for r in out])
+    assert rate > 10_000 and len(n) == 40
+    assert abs(n.mean() - rate) < 5 * np.sqrt(rate / 40) and 0.5 < n.var() / rate < 2  # a Poisson's variance is its mean
+    with pytest.raises(ValueError, match="__mix"):
+        mixing.mix_sources(frame.withColumnRenamed("source", "__mix_n"), source_col="__mix_n")
+
+
 def test_mixing(spark, docs, empty):
     got = mixing.mix_sources(docs, seed=4)
     assert set(got.columns) == set(docs.columns) | {"mix_key"}
@@ -206,9 +252,12 @@ def test_word_memo_on_odd_texts(which):
     t, rng = library(), random.Random(3)
     texts = ["".join(rng.choice(ODD) for _ in range(rng.randint(0, 50))) for _ in range(3000)]
     texts += ["a" * 4000, "!" * 3001, "<|endoftext|>a<|startoftext|>", "don't' it's we'll", "x's.", "ΑΣ, ΣΑΣ.", "É. é, Éa!"]
-    encode = bpe.NumpyBpe(PATH).encode_chunks if which == "numpy" else token_files.LibraryEncoder(PATH)
-    memo = bpe.WordMemo(encode, 900)  # so that memories turn over
-    got = [x for i in range(0, len(texts), 100) for x in memo.texts(texts[i : i + 100])]
+    own = bpe.NumpyBpe(PATH) if which == "numpy" else token_files.LibraryEncoder(PATH)
+    words = bpe.Words(own.find, own.special if which == "numpy" else own.added, 900)  # so that memories turn over
+    got = []
+    for i in range(0, len(texts), 100):
+        for ids, ends in bpe.encoded(pa.array(texts[i : i + 100]).slice(0), words, own.dtype, 5000):
+            got += [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
     want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(g, "<u2").tolist() for g in got] == want
 
@@ -300,6 +349,63 @@ def test_licence_in_every_document(spark, template, filler):
     assert all((label in r.labels.split(",") and r.score == 1.0) if r.doc_id < 1000 else r.labels == "" for r in got)
 
 
+def brute_labels(text):
+    """Labels of the templates that begin at any place of the text, by the definition."""
+    words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+    out = set()
+    for label, template, phrases in licenses.TEMPLATES:
+        want, d = template.encode().split(), licenses.DRIFT
+        for at in range(-len(want), len(words) + 1):
+            near = lambda p: {words[i] for i in range(at + p - d, at + p + d + 1) if 0 <= i < len(words)}  # noqa: E731, B023
+            if sum(w in near(p) for p, w in enumerate(want)) < licenses.COVERAGE * len(want):
+                continue
+            keys = [k.encode().split() for k in phrases]
+            places = [[p for p in range(len(want)) if want[p : p + len(k)] == k] for k in keys]
+            if all(any(words[i : i + len(k)] == k for p in ps for i in range(max(0, at + p - d), at + p + d + 1)) for k, ps in zip(keys, places, strict=True)):
+                out.add(label)
+                break
+    return out
+
+
+def damaged(template, rng):
+    """The template with words lost, swapped or put in, often still recognisable."""
+    words = template.split()
+    for _ in range(rng.randint(0, 5)):
+        k = rng.randrange(len(words))
+        rng.choice([lambda: words.pop(k), lambda: words.insert(k, "xx"), lambda: words.__setitem__(k, "yy")])() if len(words) > 1 else None
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("filler", [0, 100])
+def test_licenses_against_brute_force(spark, filler):
+    rng = random.Random(filler)
+    texts = [f"{sentence(rng.randint(0, 4))} {damaged(t, rng)} {sentence(rng.randint(0, 4))}" for _, t, _ in licenses.TEMPLATES for _ in range(12)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(10_000 + i, sentence(20)) for i in range(filler)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(frame).collect()}
+    want = [brute_labels(t) for t in texts]
+    assert sum(map(bool, want)) > 100 and sum(not w for w in want) > 20
+    assert [set(filter(None, got[i].labels.split(","))) - set(got[i].base_labels.split(",")) for i in range(len(texts))] == [w - set(got[i].base_labels.split(",")) for i, w in enumerate(want)]
+
+
+@pytest.mark.parametrize("n", [1, 3, 10, 100])
+def test_licence_labels_do_not_depend_on_the_table(spark, n):
+    for label, text, _ in licenses.TEMPLATES:
+        if label in ("mit", "bsd", "isc"):
+            rows_ = [(0, f"so {text} end")] + [(i, sentence(30)) for i in range(1, n)]
+            got = {r.doc_id: r.labels for r in licenses.scan_licenses(spark.createDataFrame(rows_, "doc_id long, text string")).collect()}
+            assert label in got[0].split(",") and not any(got[i] for i in range(1, n))
+
+
+def test_licence_words_without_end():
+    """A very long text of licence words takes time and memory in proportion."""
+    index = licenses.Index.build({}, 0)
+    words = licenses.words_of(b"mit license " * 100_000)
+    starts, labels_ = licenses.base_places(words)
+    assert starts == list(range(0, 200_000, 2)) and labels_ == {"mit"}
+    found = index.find(licenses.words_of(b"license software the " * 60_000 + b"released under the mit license"))
+    assert {index.templates[t].label for t, _, _ in found} == {"mit"}
+
+
 def auc(y, s):
     y, s = np.array(y), np.array(s)
     return np.mean((s[y == 1][:, None] > s[y == 0]) + 0.5 * (s[y == 1][:, None] == s[y == 0]))
@@ -313,6 +419,33 @@ def test_quality_edges(docs, empty, labels):
     assert {r.score for r in none} == {0.5}
 
 
+def test_quality_fit_against_plain_equations(spark, labels):
+    """The model is that of one ridge system over all labelled rows, and its calibration that of one sorted list."""
+    rng = random.Random(2)
+    texts = [(i, sentence(rng.randint(1, 80)) + ("!!! " * 20 if i % 3 == 0 else "")) for i in range(300)]
+    known = [(i, int((i % 3 == 0) != (i % 17 == 0))) for i, _ in texts] + [(3, None), (None, 1)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    labels_ = spark.createDataFrame(known, "doc_id long, quality int")
+    model = quality.train_model(quality.document_statistics(frame), labels_, F.col("doc_id") % 5 != 0)
+    rows_ = [(quality.statistics(t).astype("<f4").astype(float), q) for (i, t), (_, q) in zip(texts, known, strict=False) if i % 5]
+    x, y = np.array([s for s, _ in rows_]), np.array([float(q) for _, q in rows_])
+    mean, scale = x.mean(0), x.std(0) + 1e-3
+    assert np.allclose(model.mean, mean) and np.allclose(model.scale, scale, atol=1e-6)
+    z = np.hstack([np.sqrt(2 / quality.FOURIER) * np.cos(np.clip((x - mean) / scale, -6, 6) @ model.turn + model.shift), np.ones((len(x), 1))])
+    penalty = quality.RIDGE * len(x) * np.diag([*[1 / quality.FOURIER] * quality.FOURIER, 1e-9])
+    weights = np.linalg.solve(z.T @ z + penalty, z.T @ y)
+    assert np.allclose(z @ model.weights, z @ weights, atol=1e-4)
+    raw = z @ weights
+    at = np.clip(((raw + 0.5) / 2 * quality.BINS).astype(int), 0, quality.BINS - 1)
+    bins = sorted(set(at.tolist()))
+    level = [y[at == b].mean() for b in bins]
+    size = [(at == b).sum() for b in bins]
+    want = [max(min(np.average(level[i : j + 1], weights=size[i : j + 1]) for j in range(k, len(bins))) for i in range(k + 1)) for k in range(len(bins))]  # max-min form
+    assert np.allclose(model.levels, want, atol=1e-6)
+    sample = quality.labelled_statistics(frame, labels_, F.col("doc_id") % 5 != 0, 50)
+    assert sample.count() == 50 and quality.labelled_statistics(frame, labels_, F.col("doc_id") % 5 != 0).count() == 240
+
+
 def test_isotonic():
     total, ones = np.array([2.0, 1, 1, 4]), np.array([1.0, 1, 0, 4])
     assert np.allclose(quality.isotonic(total, ones), [0.5, 0.5, 0.5, 1.0])
@@ -336,7 +469,51 @@ def test_toxicity_edges(docs, empty, labels):
     none = toxicity.train_model(docs, labels.where("toxic = 0"), fold(4) != 2)
     assert all(r.score < 0.5 for r in toxicity.score_toxicity(docs, none).collect())
     assert all(r.score == 0.5 for r in toxicity.score_toxicity(docs, toxicity.train_model(empty, labels, fold(4) != 2)).collect())
-    assert set(toxicity.keep_clean(docs, model).columns) == set(docs.columns)
+    assert toxicity.keep_clean(docs, model).columns == docs.columns
+    clash = docs.withColumnRenamed("key", "y").withColumnRenamed("size", "__id").withColumnRenamed("label", "toxic")
+    assert toxicity.score_toxicity(clash, toxicity.train_model(clash, labels, fold(4) != 2)).count() == len(rows())
+
+
+def test_toxicity_training_against_a_plain_version(spark):
+    """Counts, ratios and chosen features as defined, and weights at which the penalised loss has no slope."""
+    rng = random.Random(4)
+    texts = [(i, sentence(rng.randint(2, 12)) + (" scoundrel" if i % 4 == 0 else "")) for i in range(120)]
+    known = [(i, int(i % 4 == 0 or i % 31 == 0)) for i, _ in texts]
+    frame, labels_ = spark.createDataFrame([(i, t, 0) for i, t in texts], "doc_id long, text string, y int"), spark.createDataFrame(known, "doc_id long, toxic int")
+    train = F.col("doc_id") % 3 != 0
+    model = toxicity.train_model(frame, labels_, train, features=200, support=2)
+    sets = [(set(np.concatenate([*toxicity.ngrams(t)]).tolist()), y) for (i, t), (_, y) in zip(texts, known, strict=True) if i % 3]
+    n = [sum(y == c for _, y in sets) for c in (0, 1)]
+    held = {g: [sum(g in s for s, y in sets if y == c) for c in (0, 1)] for g in set().union(*(s for s, _ in sets))}
+    ratio = {g: np.log((b + 1) / (n[1] + 2)) - np.log((a + 1) / (n[0] + 2)) for g, (a, b) in held.items()}
+    strength = {g: abs(ratio[g]) / np.sqrt(1 / (a + 1) + 1 / (b + 1)) for g, (a, b) in held.items() if a + b >= 2}
+    chosen = sorted(sorted(strength, key=lambda g: (-round(strength[g], 9), g))[:200])
+    mine = np.flatnonzero(model.slot >= 0).tolist()
+    assert len(set(mine) ^ set(chosen)) <= 4  # equal strengths up to rounding
+    r = np.array([ratio[g] for g in mine])
+    x = np.array([[g in s for g in mine] for s, _ in sets]) * r
+    y = np.array([float(c) for _, c in sets])
+    w = model.weights / r
+    p = 1 / (1 + np.exp(-(x @ w + model.bias)))
+    assert np.abs(x.T @ (p - y) + w).max() < 0.05 and abs((p - y).sum()) < 0.05
+    every = toxicity.train_model(frame, labels_, train, features=None, support=1)
+    assert (every.slot >= 0).sum() >= 0.9 * len(held)
+    scored = {s.doc_id: s.score for s in toxicity.score_toxicity(frame, model).collect()}
+    assert auc([int(i % 4 == 0) for i, _ in texts], [scored[i] for i, _ in texts]) > 0.99
+    kept = {s.doc_id for s in toxicity.keep_clean(frame, model).collect()}
+    assert kept == {i for i, s in scored.items() if s < 0.3}
+
+
+@pytest.mark.parametrize("block", [7, 1 << 20])
+def test_logistic_in_blocks(monkeypatch, block):
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    rng = np.random.default_rng(1)
+    sets = [np.sort(rng.choice(12, rng.integers(0, 9), replace=False)).astype("<u2") for _ in range(40)]
+    y, values = rng.integers(0, 2, 40).astype(float), rng.standard_normal(12)
+    w, b = toxicity.fit_logistic(sets, values, y, np.ones(40), 1.0, 50)
+    x = np.array([[j in s for j in range(12)] for s in sets]) * values
+    p = 1 / (1 + np.exp(-(x @ w + b)))
+    assert np.abs(x.T @ (p - y) + w).max() < 0.02
 
 
 def test_distinct_ngrams():
