@@ -18,26 +18,30 @@ THRESHOLD = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not toxic, as labelled documents teach; see ``toxicity.keep_clean`` for nulls, empty texts and tables."""
     model = toxicity.train_model(docs, table(spark, sf_dir, "labels"), fold(4) != 2)
     return toxicity.keep_clean(docs, model, THRESHOLD)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    stats = materialize(quality.document_statistics(docs), "quality-stats")
-    model = quality.train_model(stats, table(spark, sf_dir, "labels"), fold(5) != 0)
+    """Documents of good quality, as labelled documents among them teach; see ``quality.keep_good`` for nulls, empty texts and tables."""
+    labels, train = table(spark, sf_dir, "labels"), fold(5) != 0
+    model = quality.train_model(quality.labelled_statistics(docs, labels, train), labels, train)
     return quality.keep_good(docs, model, THRESHOLD)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, decided by the sets."""
+    """One text of each group whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, decided by the sets; see ``simhash.keep_first``."""
     return simhash.keep_first(docs, width=5)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's rate draws; see ``mixing.mix_sources`` for nulls, empty texts and tables."""
     return mixing.mix_sources(docs).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row of token digests per row; null and empty texts have no ids, an empty table gives none."""
     return bpe.encode_documents(docs, public_tokenizers.path(TOKENIZER))
 
 

@@ -500,6 +500,9 @@ TWO_SLOTS_SQL = """
            coalesce((select string_agg(c_custkey::varchar, ',' order by c_custkey::varchar) from customer where c_nationkey = n_nationkey), '') as customers,
            coalesce((select string_agg(s_suppkey::varchar, ',' order by s_suppkey::varchar) from supplier where s_nationkey = n_nationkey), '') as suppliers
     from nation"""
+#: Queries that run a stream to the end of its input.
+STREAMS = ("stream_nest_users", "stream_lookup", "stream_two_slots", "stream_two_levels", "search_bulk_ops_two_sources")
+
 _LAST_EVENTS = f"with {EVENTS_SQL}, ended as (select id, arg_max(kind, seq) as kind, max(seq) as seq, arg_max(k, seq) as k from ev group by id)"
 _CLEARED = "cleared as (select id, max(seq) as cut from parents where gone group by id)"
 
