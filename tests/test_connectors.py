@@ -44,6 +44,18 @@ def test_decode(spark):
     assert kafka.decode_records(records(spark, "abc", "abcd"), dropping).count() == 1
 
 
+def test_order_of_records(spark):
+    """By offset, or for batches of several topics by time, with the offset after it."""
+    flag, decode = kafka.DeleteFlag(lambda r: F.lit(False)), kafka.json_decoder(T.StructType([T.StructField("id", T.StringType())]))
+    frame = records(spark, '{"id":"a"}', '{"id":"b"}').withColumn("timestamp", F.timestamp_millis(F.lit(1_700_000_000_123)))
+    by_offset = kafka.changes_from_records("rows", frame, decode, lambda r: r["id"], flag).collect()
+    assert [(r.seq, r.sub) for r in by_offset] == [(7, 0), (8, 0)]
+    by_time = kafka.changes_from_records("rows", frame, decode, lambda r: r["id"], flag, "timestamp").collect()
+    assert [(r.seq, r.sub) for r in by_time] == [(1_700_000_000_123, 7), (1_700_000_000_123, 8)]
+    with pytest.raises(ConfigurationError):
+        kafka.changes_from_records("rows", frame, decode, lambda r: r["id"], flag, "arrival")
+
+
 def test_registry_frame(spark):
     frame = spark.createDataFrame([(bytearray(b"abc"),)], "v binary").select(kafka.framed(F.col("v"), 258).alias("v"))
     assert bytes(frame.first().v) == b"\x00\x00\x00\x01\x02abc"
