@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, resident
+from .common import connected_components, discard, materialize, resident
 from .vectors import by_group, group_starts
 
 #: Members of a chunk; a block has at most about twice as many.
@@ -156,9 +156,11 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             fine = [similar(numbers(x[k].as_buffer()), numbers(y[k].as_buffer())) for k in range(len(batch))]
             yield batch.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
-    used = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    used = materialize(sets.join(materialize(used, "jaccard-rows"), "row", "left_semi").select("row", "hashes"), "jaccard-used")
-    return materialize(_ends(pairs, used, "hashes").mapInArrow(run, "a long, b long"), "jaccard-links")
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "jaccard-rows")
+    used = materialize(sets.join(ids, "row", "left_semi").select("row", "hashes"), "jaccard-used")
+    found = materialize(_ends(pairs, used, "hashes").mapInArrow(run, "a long, b long"), "jaccard-links")
+    discard(ids, used)
+    return found
 
 
 def verified(pairs: DataFrame, sets: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -170,7 +172,9 @@ def verified(pairs: DataFrame, sets: DataFrame, sketches: DataFrame) -> DataFram
             yield batch.select(["a", "b"]).filter(pa.array([may_be_similar(*v) for v in zip(*cols, strict=True)], pa.bool_()))
 
     left = materialize(_ends(pairs, sketches, "bits", "n").mapInArrow(leave, "a long, b long"), "jaccard-left")
-    return similar_pairs(left, sets)
+    found = similar_pairs(left, sets)
+    discard(left)
+    return found
 
 
 def sketched(sets: DataFrame) -> DataFrame:
@@ -207,13 +211,17 @@ def similar_links(sets: DataFrame, copies: DataFrame, known: DataFrame, chunk: i
     more = met.where("b is null").select("a").unionByName(wide.select(F.col("__key").alias("a"))).distinct()
     more = materialize(more, "jaccard-more")
     if more.isEmpty():
+        discard(rows, sketches, wide, met, tried, more)
         return links
     parts = connected_components(links, "jaccard-parts")
     rest = cut.drop("part").join(more, F.col("key") == F.col("a"), "left_semi").join(parts, F.col("row") == F.col("node"), "left")
-    rest = materialize(rest.select("key", "row", "n", "pos", "mine", "chunks", F.coalesce("component", "row").alias("part")), "jaccard-rest")
+    rest = held = materialize(rest.select("key", "row", "n", "pos", "mine", "chunks", F.coalesce("component", "row").alias("part")), "jaccard-rest")
     mixed = rest.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
     rest = rest.join(mixed, "key", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
     side = F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") > F.col("other")).cast("int"))
     block = F.least("mine", "other").cast("long") * (1 << 31) + F.greatest("mine", "other")
     pairs = _meet(rest.withColumns({"block": block, "side": side}), None).distinct().join(tried, ["a", "b"], "left_anti")
-    return links.unionByName(verified(materialize(pairs, "jaccard-pairs"), sets, sketches))
+    pairs = materialize(pairs, "jaccard-pairs")
+    links = links.unionByName(verified(pairs, sets, sketches))
+    discard(rows, sketches, wide, met, tried, more, held, pairs)
+    return links

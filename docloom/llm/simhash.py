@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import connected_components, materialize, resident
+from .common import connected_components, discard, materialize, resident
 from .jaccard import similar_links, similar_pairs
 
 BITS = 64
@@ -249,7 +249,8 @@ def group_near_duplicates(
     Null and blank texts have fingerprint zero, which links like any other. Rows that share an id are
     one node; each row keeps its fingerprint and all their links count. Rows with a null id get their
     fingerprint and the component of the rows that have the same one, null if none has an id, and
-    connect nothing. An empty table gives an empty result. Other columns of ``docs`` are not looked at.
+    connect nothing. Very long texts are fingerprinted whole. An empty table gives an empty result. Other
+    columns of ``docs`` are not looked at.
     """
     prints = materialize(fingerprint_documents(docs, width, id_col, text_col), "simhash-prints")
     members = prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("__top"))
@@ -312,6 +313,7 @@ def keep_first(docs: DataFrame, width: int = 5, max_bits: int = 7, n_segments: i
     named = materialize(named.select("doc_id", "rep"), "shingle-names")
     links = links.unionByName(named.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     parts = connected_components(links, "shingle-links")
+    discard(sets, members, copies, prints, near)
     gone = parts.where("node != component").select("node")
     kept = rows.join(gone, doc == F.col("node"), "left_anti")
     twice = named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("twice"))
