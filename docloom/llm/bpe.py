@@ -29,7 +29,7 @@ from .common import resident
 #: Words that a Python worker remembers at most.
 WORDS = 400_000
 #: Bytes of text that are cut into words at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 NONE = np.iinfo(np.int64).max
 #: White space of the pattern, which is that of Unicode.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -136,6 +136,8 @@ def encoded(texts: pa.Array, words: Words, dtype: np.dtype, limit: int = SLICE_B
         data = ids.buffers()[2]
         flat = np.frombuffer(data, np.uint8)[: ends[-1]].view(dtype) if data and ends[-1] else np.zeros(0, dtype)
         yield flat, ends[offsets[1:] - offsets[0]].astype(np.int64) // dtype.itemsize
+        del pieces, different, ids, data, flat
+        pa.default_memory_pool().release_unused()
 
 
 class NumpyBpe:
@@ -308,6 +310,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                     arrays.append(pa.array(map(bytes, raw), pa.binary()))
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(arrays)])
                 at += len(ends)
+                del ids, wide, raw, shown, arrays
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..scratch import remove_path, scratch_path
@@ -18,6 +18,11 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _PATH = "_docloom_path"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets the session send Arrow batches of at most BATCH_BYTES from now on, also for frames that are written later."""
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written once to the shared scratch folder and read back: lineage ends at replicated files."""
     spark = df.sparkSession

@@ -31,6 +31,8 @@ MAGIC, VERSION = 0x54464C44, 1
 HEADER = np.dtype([(n, "<u4") for n in ("magic", "version", "documents", "ids", "control", "data")])
 #: Words that a Python worker remembers at most: asking the library again costs more than memory.
 WORDS = 500_000
+#: Bytes of text that are cut into words at a time.
+SLICE_BYTES = 4 << 20
 #: Ids that a segment holds at least, unless the partition ends.
 SEGMENT_IDS = 1 << 20
 #: Ids in a row of the table of ranks.
@@ -124,7 +126,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", te
         encoder, words = library(path)
         for batch in batches:
             at = 0
-            for ids, ends in encoded(batch.column(1), words, encoder.dtype):
+            for ids, ends in encoded(batch.column(1), words, encoder.dtype, SLICE_BYTES):
                 names = batch.column(0).slice(at, len(ends))
                 ids = np.insert(ids, ends, end_id)
                 yield pa.RecordBatch.from_arrays([names, binary_rows(ids, ends + np.arange(1, len(ends) + 1))], ["doc_id", "ids"])
