@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm import bpe, mixing, quality, simhash, toxicity
-from docloom.llm.common import materialize
+from docloom.llm.common import materialize, small_batches
 from docloom.llm.queries import TOKENIZER, fold, table
 
 #: Documents whose toxicity reaches, or whose quality does not reach, this score go.
@@ -19,12 +19,14 @@ THRESHOLD = 0.3
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not toxic, as labelled documents teach; see ``toxicity.keep_clean`` for nulls, empty texts and tables."""
+    small_batches(spark)
     model = toxicity.train_model(docs, table(spark, sf_dir, "labels"), fold(4) != 2)
     return toxicity.keep_clean(docs, model, THRESHOLD)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of good quality, as labelled documents among them teach; see ``quality.keep_good`` for nulls, empty texts and tables."""
+    small_batches(spark)
     labels, train = table(spark, sf_dir, "labels"), fold(5) != 0
     model = quality.train_model(quality.labelled_statistics(docs, labels, train), labels, train)
     return quality.keep_good(docs, model, THRESHOLD)
@@ -42,6 +44,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row of token digests per row; null and empty texts have no ids, an empty table gives none."""
+    small_batches(spark)
     return bpe.encode_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
