@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from ..functions.guards import checked_key, checked_value
 from ..operators.changes import DELETE, UPSERT, Key
 
+#: Emissions of a block of a nest's log, beyond the number of children that are there.
+BLOCK = 64
+
 
 def _order(source: int) -> Column:
     return F.struct(F.col("seq"), F.lit(source).alias("source"), F.col("sub"), F.col("id"))
@@ -94,6 +97,10 @@ def nest_replay(parents: DataFrame, slots: dict[str, tuple[DataFrame, Key]], ass
     A child's stay under a parent ends with its next change there or the parent's next delete. Each
     change that finds its parent present emits a document of the stays that hold at its place; a
     parent's delete emits the document as it was just before.
+
+    A parent's emissions are cut into blocks, and a stay goes to the blocks that it spans. Blocks grow with the
+    children that are there, so all blocks together hold about twice the log, whatever the documents' sizes;
+    documents are made row by row from their block.
     """
     # One ordered log per parent: the parent's state and the number of its deletes are carried along it.
     values = {"__parent": parents.schema["value"].dataType} | {f"__child_{n}": c.schema["value"].dataType for n, (c, _) in slots.items()}
@@ -106,30 +113,53 @@ def nest_replay(parents: DataFrame, slots: dict[str, tuple[DataFrame, Key]], ass
     for i, (n, (c, k)) in enumerate(slots.items()):
         log = log.unionByName(shaped(route(c, k, f"{what} {n}"), "key", n, f"__child_{n}", i + 1))
     is_top, upsert = F.col("slot") == "", F.col("kind") == UPSERT
+    delete = is_top & ~upsert
     state = F.when(is_top, F.struct(F.when(upsert, F.col("__parent")).alias("v")))
     along = Window.partitionBy("parent").orderBy("ord")
     upto = along.rowsBetween(Window.unboundedPreceding, 0)
     earlier = along.rowsBetween(Window.unboundedPreceding, -1)
-    delete = is_top & ~upsert
     log = log.withColumn("__state", state).withColumns(
         {
-            "__era": F.sum(delete.cast("int")).over(upto),
+            "__pos": F.row_number().over(along),
+            "__era": F.coalesce(F.sum(delete.cast("int")).over(earlier), F.lit(0)),  # a delete ends its era
             "__now": F.last("__state", ignorenulls=True).over(upto)["v"],
             "__before": F.last("__state", ignorenulls=True).over(earlier)["v"],
         }
     )
-    stay = Window.partitionBy("parent", "slot", "child", "__era").orderBy("ord")
-    log = log.withColumns({"__was": F.lag("kind").over(stay), "__until": F.lead("ord").over(stay)})
-    emits = F.when(delete, F.col("__before").isNotNull()).otherwise(F.col("__now").isNotNull() & (upsert | F.coalesce(F.col("__was") == UPSERT, F.lit(False))))
-    emitted = log.where(emits).select(
-        "parent", "ord", _numbered("parent"), F.when(delete, DELETE).otherwise(UPSERT).alias("kind"), F.when(delete, F.col("__before")).otherwise(F.col("__now")).alias("__top"), (F.col("__era") - delete.cast("int")).alias("__era")
-    )
-    children = [c for c in values if c != "__parent"]
-    stays = log.where(~is_top & upsert).select(F.col("parent").alias("__p"), F.col("ord").alias("__from"), "__until", F.col("__era").alias("__e"), "slot", "child", *children)
-    there = (F.col("parent") == F.col("__p")) & (F.col("__era") == F.col("__e")) & (F.col("__from") <= F.col("ord")) & (F.col("__until").isNull() | (F.col("__until") > F.col("ord")))
-    held = emitted.select("parent", "ord", "sub", "__era").join(stays, there).groupBy("parent", "sub")
-    held = held.agg(*[F.array_sort(F.collect_list(F.when(F.col("slot") == n, F.struct(F.col("child").alias("id"), F.col(f"__child_{n}").alias("value"))))).alias(f"__children_{n}") for n in slots])
-    out = emitted.join(held, ["parent", "sub"], "left")
-    arrays = {n: F.coalesce(F.transform(F.col(f"__children_{n}"), lambda c: c["value"]), F.array()) for n in slots}
-    value = checked_value(assemble(F.col("__top"), arrays), what)
-    return out.select("kind", F.col("parent").alias("id"), value.alias("value"), F.col("ord.seq").alias("seq"), "sub")
+    top = F.when(delete, F.col("__before")).otherwise(F.col("__now"))
+    log = log.select("parent", F.col("ord.seq").alias("seq"), "slot", "child", "kind", *_children(values), top.alias("__top"), "__pos", "__era")
+    stay = Window.partitionBy("parent", "slot", "child", "__era").orderBy("__pos")
+    log = log.withColumn("__held", ~is_top & F.coalesce(F.lag("kind").over(stay) == UPSERT, F.lit(False)))
+    log = log.withColumn("__emits", F.col("__top").isNotNull() & (is_top | upsert | F.col("__held")))
+
+    # Emissions are numbered, a stay is a range of their numbers, and a block takes about as many of them as children are there.
+    era, whole = Window.partitionBy("parent", "__era").orderBy("__pos"), Window.partitionBy("parent").orderBy("__era", "__pos")
+    come = F.when(~is_top, upsert.cast("long") - F.col("__held").cast("long")).otherwise(0)
+    log = log.withColumn("__live", F.sum(come).over(era.rowsBetween(Window.unboundedPreceding, 0)))
+    counted = whole.rowsBetween(Window.unboundedPreceding, 0)
+    share = F.when(F.col("__emits"), F.expr(f"{1 << 32} div ({BLOCK} + __live)")).otherwise(0)
+    log = log.withColumns({"__n": F.sum(F.col("__emits").cast("long")).over(counted), "__block": F.shiftright(F.sum(share).over(counted), 32)})
+    ends = era.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    log = log.withColumns({"__first": F.col("__n") - F.col("__emits").cast("long"), "__era_n": F.last("__n").over(ends), "__era_block": F.last("__block").over(ends)})
+    log = log.withColumns({"__end": F.coalesce(F.lead("__first").over(stay), "__era_n"), "__last": F.coalesce(F.lead("__block").over(stay), "__era_block")})
+    seen = ~is_top & upsert & (F.col("__first") < F.col("__end"))
+    log = log.where(F.col("__emits") | seen).withColumn("__at", F.explode(F.sequence("__block", F.when(seen, F.col("__last")).otherwise(F.col("__block")))))
+
+    emission = F.struct(F.col("__first").alias("sub"), F.when(delete, DELETE).otherwise(UPSERT).alias("kind"), "seq", F.col("__top").alias("top"))
+    lists = [F.collect_list(F.when(F.col("__emits") & (F.col("__at") == F.col("__block")), emission)).alias("__emissions")]
+    for n in slots:
+        child = F.struct(F.col("child").alias("id"), F.col("__first").alias("first"), F.col("__end").alias("end"), F.col(f"__child_{n}").alias("value"))
+        lists.append(F.array_sort(F.collect_list(F.when(seen & (F.col("slot") == n), child))).alias(f"__children_{n}"))
+    blocks = log.groupBy("parent", "__at").agg(*lists).repartition("parent", "__at")  # one parent's blocks go to many tasks
+    out = blocks.select("parent", F.explode("__emissions").alias("__e"), *[f"__children_{n}" for n in slots])
+
+    def there(children: Column) -> Column:
+        return F.transform(F.filter(children, lambda c: (c["first"] <= F.col("__e.sub")) & (c["end"] > F.col("__e.sub"))), lambda c: c["value"])
+
+    out = out.select("parent", "__e", *[there(F.col(f"__children_{n}")).alias(f"__children_{n}") for n in slots])
+    value = checked_value(assemble(F.col("__e.top"), {n: F.col(f"__children_{n}") for n in slots}), what)
+    return out.select("__e.kind", F.col("parent").alias("id"), value.alias("value"), "__e.seq", "__e.sub")
+
+
+def _children(values: dict) -> list[str]:
+    return [c for c in values if c != "__parent"]

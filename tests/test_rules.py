@@ -1,5 +1,6 @@
 """The rules without an engine, and the replay in SQL against them."""
 
+import random
 from datetime import timedelta
 
 import pytest
@@ -13,6 +14,7 @@ from docloom.operators.changes import change_schema, changes_from
 from docloom.operators.lookup import Lookup
 from docloom.operators.nest import Nest
 from docloom.options import ChildOptions, LookupOptions, NestOptions
+from docloom.plans import replay
 from docloom.streaming.rules import LookupRules, NestRules, OrphanDeadline, java_hash, route
 from docloom.streaming.state import MemoryCell, MemoryTable
 
@@ -240,6 +242,20 @@ def test_nest_replay_agrees_with_rules(spark, parts, together):
     assert got == sorted(by_rules_nest(rows), key=str)
 
 
+def test_nest_replay_in_many_blocks(spark, monkeypatch):
+    """Blocks of few emissions give what the rules give; emissions are not joined with the stays that hold, whose pairs are all documents' children."""
+    monkeypatch.setattr(replay, "BLOCK", 1)
+    draw = random.Random(5)
+    parts = [(draw.choice([0] + [1, 2] * 6), (draw.choice([U, U, D]), str(draw.randrange(9)), draw.choice(KEYS))) for _ in range(300)]
+    rows = numbered(parts, 2)
+    level = Nest.parent("n", stream(spark, [(k, key_, f"d{s}", s) for src, k, _, key_, s in rows if src == 0]))
+    slots = [level.child(n, stream(spark, [(k, i, f"{i}{s}@{key_}", s) for src, k, i, key_, s in rows if src == j]), key) for j, n in ((1, "x"), (2, "y"))]
+    doc = level.assemble(lambda p, c: F.struct(p["v"].alias("p"), *[F.transform(c[s], lambda x: x["v"]).alias(s.name) for s in slots]), mode="replay")
+    got = sorted([(r.kind, r.id, r.value.p, [list(r.value.x), list(r.value.y)], r.seq, r.sub) for r in doc.collect()], key=str)
+    assert got == sorted(by_rules_nest(rows), key=str) and len(got) > 100
+    assert "Join" not in doc._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_children_of_one_parent_at_equal_seq(spark):
     parents, kids = stream(spark, [(U, "p", "P", 1)]), stream(spark, [(U, "x", "X@p", 5), (U, "y", "Y@p", 5)])
     for mode, want in (("replay", [("", 0), ("X@p", 1), ("X@p,Y@p", 2)]), ("snapshot", [("X@p,Y@p", 0)])):
