@@ -9,7 +9,7 @@ similar sets may are dropped; each of the others is decided by its whole sets.
 Order and skew: numbers that many sets hold come last. How many hold them is estimated in a table of
 fixed width, which changes the work but not the pairs. Links that are known beforehand, such as those
 of fingerprints, spare their components. Then each row meets its neighbours by size in its group; then
-only rows of different components still meet, in blocks of bounded size.
+only rows of different components still meet, in blocks of bounded size, with their parities.
 """
 
 from __future__ import annotations
@@ -28,6 +28,10 @@ from .vectors import by_group, group_starts
 CHUNK = 2048
 #: Neighbours in a group that a row meets before components are known.
 WINDOW = 8
+#: Bits of the parities that go into blocks with a row.
+SKETCH = 1024
+#: Pairs whose sketches are compared at once.
+SLICE = 1 << 14
 #: Bits of a number that choose its place in the table of counts.
 TABLE_BITS = 16
 #: Sets above the usual that make the numbers of a place common; each doubling is a level more.
@@ -93,10 +97,15 @@ def prefixes(sets: DataFrame, levels: np.ndarray) -> DataFrame:
 
 
 def _candidates(window: int | None):
-    """Distinct pairs of a block that the filters leave, as (a, b); with a window also (key, null) of groups that exceed it."""
+    """Distinct pairs of a block that the filters leave, as (a, b); with a window also (key, null) of groups that exceed it.
+
+    Where rows bring sketches, pairs that these rule out end in the block: rows of different sets that share common
+    numbers cost comparisons, but make no rows.
+    """
 
     def handle(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         resident()
+        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(rows), -1) if "sketch" in rows.column_names else None
         n, pos, row, side, part = (rows.column(c).to_numpy() for c in ("n", "pos", "row", "side", "part"))
         starts = group_starts(rows, ["key", "block"])
         sizes = np.diff(starts)
@@ -111,6 +120,11 @@ def _candidates(window: int | None):
             i, j = live, live + d
             ok = 9 * np.minimum(left[i], left[j]) >= 4 * (n[i] + n[j])
             ok &= (part[i] != part[j]) & ((side[i] != side[j]) | (side[i] == 2)) & (row[i] != row[j])
+            if sketch is not None:
+                at = np.flatnonzero(ok)
+                for some in (at[k : k + SLICE] for k in range(0, len(at), SLICE)):
+                    x, y = i[some], j[some]
+                    ok[some] = 9 * np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64) <= n[x].astype(np.int64) + n[y]
             found.append(np.stack([np.minimum(row[i[ok]], row[j[ok]]), np.maximum(row[i[ok]], row[j[ok]])], 1))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -122,13 +136,14 @@ def _candidates(window: int | None):
 
 
 def _meet(rows: DataFrame, window: int | None) -> DataFrame:
-    rows = rows.select("key", "block", "n", "row", "pos", "side", "part").repartition("key", "block").sortWithinPartitions("key", "block", "n", "row")
+    brought = [c for c in rows.columns if c == "sketch"]
+    rows = rows.select("key", "block", "n", "row", "pos", "side", "part", *brought).repartition("key", "block").sortWithinPartitions("key", "block", "n", "row")
     return rows.mapInArrow(_candidates(window), "a long, b long")
 
 
-def parity(own: np.ndarray) -> bytes:
-    """For each value of the low bits, whether an odd number of the set's numbers has it; about one bit a number."""
-    width = max(64, 1 << int(len(own) - 1).bit_length()) if len(own) else 64
+def parity(own: np.ndarray, width: int | None = None) -> bytes:
+    """For each value of the low bits, whether an odd number of the set's numbers has it; about one bit a number, or ``width`` bits."""
+    width = width or (max(64, 1 << int(len(own) - 1).bit_length()) if len(own) else 64)
     return np.packbits(np.bincount((own & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).tobytes()
 
 
@@ -178,15 +193,16 @@ def verified(pairs: DataFrame, sets: DataFrame, sketches: DataFrame) -> DataFram
 
 
 def sketched(sets: DataFrame) -> DataFrame:
-    """``row, n, bits``: size and parities of each set."""
+    """``row, n, bits, sketch``: size and parities of each set, and these in SKETCH bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raws = [numbers(r.as_buffer()) for r in batch.column(1)]
             sizes = [len(r) for r in raws]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(map(parity, raws), pa.binary())], ["row", "n", "bits"])
+            arrays = [pa.array(sizes, pa.int32()), pa.array(map(parity, raws), pa.binary()), pa.array([parity(r, SKETCH) for r in raws], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["row", "n", "bits", "sketch"])
 
-    return sets.select("row", "hashes").mapInArrow(run, "row long, n int, bits binary")
+    return sets.select("row", "hashes").mapInArrow(run, "row long, n int, bits binary, sketch binary")
 
 
 def similar_links(sets: DataFrame, copies: DataFrame, known: DataFrame, chunk: int = CHUNK, window: int = WINDOW) -> DataFrame:
@@ -214,8 +230,8 @@ def similar_links(sets: DataFrame, copies: DataFrame, known: DataFrame, chunk: i
         discard(rows, sketches, wide, met, tried, more)
         return links
     parts = connected_components(links, "jaccard-parts")
-    rest = cut.drop("part").join(more, F.col("key") == F.col("a"), "left_semi").join(parts, F.col("row") == F.col("node"), "left")
-    rest = held = materialize(rest.select("key", "row", "n", "pos", "mine", "chunks", F.coalesce("component", "row").alias("part")), "jaccard-rest")
+    rest = cut.drop("part").join(more, F.col("key") == F.col("a"), "left_semi").join(parts, F.col("row") == F.col("node"), "left").join(sketches.select("row", "sketch"), "row")
+    rest = held = materialize(rest.select("key", "row", "n", "pos", "mine", "chunks", "sketch", F.coalesce("component", "row").alias("part")), "jaccard-rest")
     mixed = rest.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
     rest = rest.join(mixed, "key", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
     side = F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") > F.col("other")).cast("int"))

@@ -204,3 +204,23 @@ def test_near_dedup_keeps_texts_that_only_share_a_fingerprint(spark):
     assert int(prints[0] ^ prints[1]).bit_count() <= 7
     kept = simhash.keep_first(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), width=5)
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1]
+
+
+def test_sets_that_share_common_numbers_end_in_their_block(spark, monkeypatch):
+    """Different sets with equal first numbers are candidates of each other; their pairs make no rows, and a similar pair among them is found."""
+    draw, counts, verified = np.random.default_rng(3), [], jaccard.verified
+    shared = np.arange(1, 10, dtype="<u8")
+    sets = [np.sort(np.concatenate([shared, draw.integers(1 << 40, 1 << 63, 31).astype("<u8")])) for _ in range(120)]
+    sets[119] = np.sort(np.concatenate([sets[7][:39], draw.integers(1 << 40, 1 << 63, 1).astype("<u8")]))
+
+    def counted(pairs, *rest):
+        counts.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    monkeypatch.setattr(jaccard, "COMMON", 1 << 20)
+    rows = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(sets)], "row long, hashes binary")
+    none = spark.createDataFrame([], "a long, b long")
+    links = jaccard.similar_links(rows, spark.createDataFrame([], "row long"), none, window=2)
+    assert {(r.a, r.b) for r in links.collect()} == {(7, 119)}
+    assert len(counts) == 2 and counts[1] < 100, counts
