@@ -15,6 +15,8 @@ from ..operators.changes import DELETE, UPSERT, Key
 
 #: Emissions of a block of a nest's log, beyond the number of children that are there.
 BLOCK = 64
+#: Emissions of a part of a block, for which its children are found once, and children of all a part's documents at most.
+PART, PART_CHILDREN = 32, 1 << 16
 
 
 def _order(source: int) -> Column:
@@ -32,7 +34,8 @@ def route(changes: DataFrame, key: Key, what: str) -> DataFrame:
     A delete is routed, and valued, by the last known value. Without one an upsert or delete needs a key of its own.
     """
     before = Window.partitionBy("id").orderBy("seq", "sub")
-    rows = changes.withColumn("__last", F.lag(F.when(F.col("kind") == UPSERT, F.col("value"))).over(before))
+    last = F.when(F.lag("kind").over(before) == UPSERT, F.lag("value").over(before))  # not a lag of the case: that would be shuffled beside the value
+    rows = changes.withColumn("__last", last)
     rows = rows.withColumn("__own", key(F.col("value")).cast("string")).withColumn("__old", key(F.col("__last")).cast("string"))
     own = checked_key(F.col("__own"), F.col("id"), what)
     known, delete = F.col("__last").isNotNull(), F.col("kind") == DELETE
@@ -98,39 +101,43 @@ def nest_replay(parents: DataFrame, slots: dict[str, tuple[DataFrame, Key]], ass
     change that finds its parent present emits a document of the stays that hold at its place; a
     parent's delete emits the document as it was just before.
 
-    A parent's emissions are cut into blocks, and a stay goes to the blocks that it spans. Blocks grow with the
-    children that are there, so all blocks together hold about twice the log, whatever the documents' sizes;
-    documents are made row by row from their block.
+    A parent's emissions are cut into blocks, and a stay, of a child or of a parent's value, goes to the blocks that
+    it spans. Blocks grow with the children that are there, so all blocks together hold about twice the log, whatever
+    the documents' sizes; documents are made row by row from their block. Deletes carry no value, the log a value
+    once, and blocks are columns of numbers and values, so little is shuffled.
     """
-    # One ordered log per parent: the parent's state and the number of its deletes are carried along it.
-    values = {"__parent": parents.schema["value"].dataType} | {f"__child_{n}": c.schema["value"].dataType for n, (c, _) in slots.items()}
+    # One ordered log per parent: whether the parent is there and the number of its deletes are carried along it.
+    values = {"__parent": parents.schema["value"].dataType} | {f"__child_{i}": c.schema["value"].dataType for i, (c, _) in enumerate(slots.values())}
 
-    def shaped(rows: DataFrame, parent: str, slot: str, filled: str, source: int) -> DataFrame:
-        cells = [(F.col("value") if c == filled else F.lit(None).cast(kind)).alias(c) for c, kind in values.items()]
-        return rows.select(F.col(parent).alias("parent"), _order(source).alias("ord"), F.lit(slot).alias("slot"), F.col("id").alias("child"), "kind", *cells)
+    def shaped(rows: DataFrame, parent: str, filled: str, source: int) -> DataFrame:
+        cells = [(F.when(F.col("kind") == UPSERT, F.col("value")) if c == filled else F.lit(None).cast(kind)).alias(c) for c, kind in values.items()]
+        return rows.select(F.col(parent).alias("parent"), _order(source).alias("ord"), "kind", *cells)
 
-    log = shaped(parents, "id", "", "__parent", 0)
+    log = shaped(parents, "id", "__parent", 0)
     for i, (n, (c, k)) in enumerate(slots.items()):
-        log = log.unionByName(shaped(route(c, k, f"{what} {n}"), "key", n, f"__child_{n}", i + 1))
-    is_top, upsert = F.col("slot") == "", F.col("kind") == UPSERT
-    delete = is_top & ~upsert
-    state = F.when(is_top, F.struct(F.when(upsert, F.col("__parent")).alias("v")))
+        log = log.unionByName(shaped(route(c, k, f"{what} {n}"), "key", f"__child_{i}", i + 1))
+    is_top, upsert = F.col("ord.source") == 0, F.col("kind") == UPSERT
+    delete, comes = is_top & ~upsert, is_top & upsert & F.col("__parent").isNotNull()
+    state = F.when(is_top, comes)
     along = Window.partitionBy("parent").orderBy("ord")
     upto = along.rowsBetween(Window.unboundedPreceding, 0)
     earlier = along.rowsBetween(Window.unboundedPreceding, -1)
-    log = log.withColumn("__state", state).withColumns(
+    log = log.withColumns(
         {
             "__pos": F.row_number().over(along),
             "__era": F.coalesce(F.sum(delete.cast("int")).over(earlier), F.lit(0)),  # a delete ends its era
-            "__now": F.last("__state", ignorenulls=True).over(upto)["v"],
-            "__before": F.last("__state", ignorenulls=True).over(earlier)["v"],
+            "__turn": F.sum(comes.cast("int")).over(upto),  # which of the parent's values holds
+            "__now": F.last(state, ignorenulls=True).over(upto),
+            "__before": F.last(state, ignorenulls=True).over(earlier),
         }
     )
-    top = F.when(delete, F.col("__before")).otherwise(F.col("__now"))
-    log = log.select("parent", F.col("ord.seq").alias("seq"), "slot", "child", "kind", *_children(values), top.alias("__top"), "__pos", "__era")
-    stay = Window.partitionBy("parent", "slot", "child", "__era").orderBy("__pos")
+    top = F.coalesce(F.when(delete, F.col("__before")).otherwise(F.col("__now")), F.lit(False))
+    log = log.select("parent", F.col("ord.seq").alias("seq"), F.col("ord.source").alias("source"), F.col("ord.id").alias("child"), "kind", *values, top.alias("__there"), "__pos", "__era", "__turn")
+    is_top = F.col("source") == 0
+    delete, comes = is_top & ~upsert, is_top & upsert & F.col("__parent").isNotNull()
+    stay = Window.partitionBy("parent", "source", "child", "__era").orderBy("__pos")
     log = log.withColumn("__held", ~is_top & F.coalesce(F.lag("kind").over(stay) == UPSERT, F.lit(False)))
-    log = log.withColumn("__emits", F.col("__top").isNotNull() & (is_top | upsert | F.col("__held")))
+    log = log.withColumn("__emits", F.col("__there") & (is_top | upsert | F.col("__held")))
 
     # Emissions are numbered, a stay is a range of their numbers, and a block takes about as many of them as children are there.
     era, whole = Window.partitionBy("parent", "__era").orderBy("__pos"), Window.partitionBy("parent").orderBy("__era", "__pos")
@@ -143,23 +150,83 @@ def nest_replay(parents: DataFrame, slots: dict[str, tuple[DataFrame, Key]], ass
     log = log.withColumns({"__first": F.col("__n") - F.col("__emits").cast("long"), "__era_n": F.last("__n").over(ends), "__era_block": F.last("__block").over(ends)})
     log = log.withColumns({"__end": F.coalesce(F.lead("__first").over(stay), "__era_n"), "__last": F.coalesce(F.lead("__block").over(stay), "__era_block")})
     seen = ~is_top & upsert & (F.col("__first") < F.col("__end"))
-    log = log.where(F.col("__emits") | seen).withColumn("__at", F.explode(F.sequence("__block", F.when(seen, F.col("__last")).otherwise(F.col("__block")))))
+    log = log.where(F.col("__emits") | seen).withColumn("__at", F.explode(F.sequence("__block", F.when(seen | comes, F.col("__last")).otherwise(F.col("__block")))))
 
-    emission = F.struct(F.col("__first").alias("sub"), F.when(delete, DELETE).otherwise(UPSERT).alias("kind"), "seq", F.col("__top").alias("top"))
-    lists = [F.collect_list(F.when(F.col("__emits") & (F.col("__at") == F.col("__block")), emission)).alias("__emissions")]
-    for n in slots:
-        child = F.struct(F.col("child").alias("id"), F.col("__first").alias("first"), F.col("__end").alias("end"), F.col(f"__child_{n}").alias("value"))
-        lists.append(F.array_sort(F.collect_list(F.when(seen & (F.col("slot") == n), child))).alias(f"__children_{n}"))
-    blocks = log.groupBy("parent", "__at").agg(*lists).repartition("parent", "__at")  # one parent's blocks go to many tasks
-    out = blocks.select("parent", F.explode("__emissions").alias("__e"), *[f"__children_{n}" for n in slots])
+    emission = F.struct(F.col("__first").alias("sub"), "seq", delete.alias("delete"), F.col("__turn").alias("turn"))
+    lists = [F.array_sort(F.collect_list(F.when(F.col("__emits") & (F.col("__at") == F.col("__block")), emission))).alias("__emissions")]
+    lists.append(F.array_sort(F.collect_list(F.when(comes, F.struct(F.col("__turn").alias("turn"), F.col("__parent").alias("value")))), _by_turn).alias("__tops"))
+    for i in range(len(slots)):
+        child = F.struct(F.col("child").alias("id"), F.col("__first").alias("first"), F.col("__end").alias("end"), F.col(f"__child_{i}").alias("value"))
+        lists.append(F.array_sort(F.collect_list(F.when(seen & (F.col("source") == i + 1), child))).alias(f"__children_{i}"))
+    blocks = log.groupBy("parent", "__at").agg(*lists).where(F.size("__emissions") > 0)
+    return _documents(_packed(blocks, len(slots)), slots, assemble, what)
 
-    def there(children: Column) -> Column:
-        return F.transform(F.filter(children, lambda c: (c["first"] <= F.col("__e.sub")) & (c["end"] > F.col("__e.sub"))), lambda c: c["value"])
 
-    out = out.select("parent", "__e", *[there(F.col(f"__children_{n}")).alias(f"__children_{n}") for n in slots])
-    value = checked_value(assemble(F.col("__e.top"), {n: F.col(f"__children_{n}") for n in slots}), what)
-    return out.select("__e.kind", F.col("parent").alias("id"), value.alias("value"), "__e.seq", "__e.sub")
+def _by_turn(a: Column, b: Column) -> Column:
+    return F.signum(a["turn"] - b["turn"]).cast("int")
+
+
+def _packed(blocks: DataFrame, slots: int) -> DataFrame:
+    """Blocks dealt out with their lists as columns and numbers from the block's first emission; one parent's blocks go to many tasks."""
+    base, size, first = F.col("__emissions")[0]["sub"], F.size("__emissions"), F.col("__tops")[0]["turn"]
+    columns = [base.alias("__base"), F.col("__emissions")["seq"].alias("__seq"), F.col("__emissions")["delete"].alias("__delete"), F.col("__tops")["value"].alias("__top")]
+    columns.append(F.transform(F.col("__emissions")["turn"], lambda t: (t - first).cast("int")).alias("__top_at"))
+    for i in range(slots):
+        children = F.col(f"__children_{i}")
+        columns.append(F.transform(children["first"], lambda n: F.greatest(n - base, F.lit(0)).cast("int")).alias(f"__first_{i}"))
+        columns.append(F.transform(children["end"], lambda n: F.least(n - base, size).cast("int")).alias(f"__end_{i}"))
+        columns.append(children["value"].alias(f"__value_{i}"))
+    return blocks.select("parent", "__at", *columns).repartition("parent", "__at")
+
+
+def _let(value: Column, of) -> Column:
+    """``of(value)`` with the value found once, wherever ``of`` uses it."""
+    return F.transform(F.array(value), of)[0]
+
+
+def _segments(rows: Column, start: Column, stop: Column) -> Column:
+    """The children of a part of a block, ``start`` to before ``stop``, as segments: one that comes or goes within the part, then those after it that stay.
+
+    ``held`` has the values with the first one, ``gone`` without it; the first segment has none that comes or goes.
+    """
 
+    def cut(c: Column) -> Column:
+        numbered = F.transform(c, lambda x, at: F.struct(x["first"].alias("first"), x["end"].alias("end"), at.alias("at")))
+        return _let(c["value"], lambda all_: _let(F.filter(numbered, lambda x: (x["first"] > start) | (x["end"] < stop)), lambda moving: segments(all_, moving)))
 
-def _children(values: dict) -> list[str]:
-    return [c for c in values if c != "__parent"]
+    def segments(all_: Column, moving: Column) -> Column:
+        def segment(j: Column) -> Column:
+            one, at = F.get(moving, j - 1), F.coalesce(F.get(moving, j - 1)["at"], F.lit(-1))
+            next_ = F.coalesce(F.get(moving, j)["at"], F.size(all_))
+            held, gone = F.slice(all_, F.greatest(at + 1, F.lit(1)), next_ - at), F.slice(all_, at + 2, next_ - at - 1)
+            return F.struct(one["first"].alias("first"), one["end"].alias("end"), held.alias("held"), gone.alias("gone"))
+
+        return F.transform(F.sequence(F.lit(0), F.size(moving)), segment)
+
+    return _let(F.filter(rows, lambda c: (c["first"] < stop) & (c["end"] > start)), cut)
+
+
+def _documents(blocks: DataFrame, slots: dict, assemble, what: str) -> DataFrame:
+    """A block's documents, made in parts: a part's children are found once and an emission's put together from its segments."""
+    places = range(len(slots))
+    children = sum([F.size(f"__value_{i}").cast("long") for i in places], F.lit(1))
+    blocks = blocks.withColumn("__step", F.greatest(F.lit(1), F.least(F.lit(PART), F.floor(PART_CHILDREN / children))).cast("int"))
+    blocks = blocks.select("*", F.explode(F.sequence(F.lit(0), F.size("__seq") - 1, F.col("__step"))).alias("__from"))
+
+    def there(segments: Column, at: Column) -> Column:
+        return F.flatten(F.transform(segments, lambda s: F.when((s["first"] <= at) & (s["end"] > at), s["held"]).otherwise(s["gone"])))
+
+    def document(part: Column, at: Column) -> Column:
+        kind = F.when(F.get("__delete", at), DELETE).otherwise(UPSERT)
+        found = [there(part[f"children_{i}"], at).alias(f"children_{i}") for i in places]
+        return F.struct((F.col("__base") + at).alias("sub"), kind.alias("kind"), F.get("__seq", at).alias("seq"), F.get("__top", F.get("__top_at", at)).alias("top"), *found)
+
+    def rows(i: int) -> Column:
+        zipped = F.arrays_zip(f"__first_{i}", f"__end_{i}", f"__value_{i}")
+        return F.transform(zipped, lambda c: F.struct(c[f"__first_{i}"].alias("first"), c[f"__end_{i}"].alias("end"), c[f"__value_{i}"].alias("value")))
+
+    start, stop = F.col("__from"), F.least(F.col("__from") + F.col("__step"), F.size("__seq"))
+    part = F.struct(F.sequence(start, stop - 1).alias("at"), *[_segments(rows(i), start, stop).alias(f"children_{i}") for i in places])
+    out = blocks.select("parent", F.explode(_let(part, lambda p: F.transform(p["at"], lambda at: document(p, at)))).alias("__e"))
+    value = checked_value(assemble(F.col("__e.top"), {n: F.col(f"__e.children_{i}") for i, n in enumerate(slots)}), what)
+    return out.select("__e.kind", F.col("parent").alias("id"), value.alias("value"), "__e.seq", "__e.sub")

@@ -8,6 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from docloom import queries
 from docloom.errors import ConfigurationError
 from docloom.names import checked_name, state_id, uid
 from docloom.operators.changes import change_schema, changes_from
@@ -256,6 +257,34 @@ def test_nest_replay_in_many_blocks(spark, monkeypatch):
     assert "Join" not in doc._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("part, most", [(1, 1 << 16), (3, 1 << 16), (32, 8), (32, 1 << 16)])
+def test_nest_replay_in_parts_of_blocks(spark, monkeypatch, part, most):
+    monkeypatch.setattr(replay, "PART", part)
+    monkeypatch.setattr(replay, "PART_CHILDREN", most)
+    draw = random.Random(part + most)
+    parts = [(draw.choice([0] + [1, 2] * 6), (draw.choice([U, U, D]), str(draw.randrange(9)), draw.choice(KEYS))) for _ in range(300)]
+    rows = numbered(parts, 2)
+    level = Nest.parent("n", stream(spark, [(k, key_, f"d{s}", s) for src, k, _, key_, s in rows if src == 0]))
+    slots = [level.child(n, stream(spark, [(k, i, f"{i}{s}@{key_}", s) for src, k, i, key_, s in rows if src == j]), key) for j, n in ((1, "x"), (2, "y"))]
+    doc = level.assemble(lambda p, c: F.struct(p["v"].alias("p"), *[F.transform(c[s], lambda x: x["v"]).alias(s.name) for s in slots]), mode="replay")
+    got = sorted([(r.kind, r.id, r.value.p, [list(r.value.x), list(r.value.y)], r.seq, r.sub) for r in doc.collect()], key=str)
+    assert got == sorted(by_rules_nest(rows), key=str) and len(got) > 100
+
+
+def test_nest_replay_shuffles_little(spark):
+    """Disk follows what is shuffled: one shuffle by user, one by key, one of blocks, of 110 bytes an event together."""
+
+    def shuffled() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    out, before = queries.nest_replay_equal_seq(spark, "/root/testdata/sf0.01"), shuffled()
+    out.write.format("noop").mode("overwrite").save()
+    assert 0 < shuffled() - before < 110 * 10_000
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3
+
+
 def test_children_of_one_parent_at_equal_seq(spark):
     parents, kids = stream(spark, [(U, "p", "P", 1)]), stream(spark, [(U, "x", "X@p", 5), (U, "y", "Y@p", 5)])
     for mode, want in (("replay", [("", 0), ("X@p", 1), ("X@p,Y@p", 2)]), ("snapshot", [("X@p,Y@p", 0)])):
